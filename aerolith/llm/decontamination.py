@@ -167,11 +167,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
         out = keep if last else list(dict.fromkeys([*keep, text_col]))
         if last and cut:
             fields.append(T.StructField("clean_text", T.StringType()))
-        before = df
         if k:
             df = df.withColumnsRenamed({"hit_words": "_hit_words", "hit_items": "_hit_items"}).drop("n_words")
         df = map_rows(df.select(*dict.fromkeys([*out, text_col, *(["_hit_words", "_hit_items"] if k else [])])), _maker(block, text_col, bool(k), last and cut), out, fields)
-        del before
     return df
 
 

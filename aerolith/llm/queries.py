@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from aerolith.llm.decontamination import OP2_SQL, op2_decontamination
+from aerolith.llm.ngram_join import OP8_SQL, op8_ngram_jaccard_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
+        "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": OP2_SQL,
+        "op8_ngram_jaccard_join": OP8_SQL,
     }
