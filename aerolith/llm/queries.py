@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from aerolith.llm.decontamination import OP2_SQL, op2_decontamination
 from aerolith.llm.ngram_join import OP8_SQL, op8_ngram_jaccard_join
+from aerolith.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op3_toxicity": op3_toxicity,
     }
 
 
