@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from aerolith.llm.decontamination import OP2_SQL, op2_decontamination
+from aerolith.llm.language_id import op4_language_id
 from aerolith.llm.ngram_join import OP8_SQL, op8_ngram_jaccard_join
 from aerolith.llm.toxicity import op3_toxicity
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op3_toxicity": op3_toxicity,
+        "op4_language_id": op4_language_id,
     }
 
 
