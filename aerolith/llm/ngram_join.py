@@ -88,19 +88,19 @@ def sort_within(group: np.ndarray, value: np.ndarray, rank: np.ndarray | None =
     return order
 
 
-def _sum_arrays(df: DataFrame, make, width: int) -> np.ndarray:
-    """Sum of the int64 arrays that ``make()``'s function adds up over each task's batches, in a tree of at most 32 arrays a task."""
+def _sum_arrays(df: DataFrame, make, width: int, kind=np.int64) -> np.ndarray:
+    """Sum of the arrays that ``make()``'s function adds up over each task's batches, in a tree of at most 32 arrays a task."""
 
     def run(batches):
         add, total = make()
         for batch in batches:
             add(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype(np.int64).tobytes()], pa.binary())], names=["k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype(kind).tobytes()], pa.binary())], names=["k", "v"])
 
     def add_up(table):
-        total = np.zeros(width, dtype=np.int64)
+        total = np.zeros(width, dtype=kind)
         for x in table.column("v"):
-            total += np.frombuffer(x.as_buffer(), dtype=np.int64)
+            total += np.frombuffer(x.as_buffer(), dtype=kind)
         return pa.table({"k": pa.array([0], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
 
     parts = df.mapInArrow(run, "k int, v binary")
@@ -108,9 +108,9 @@ def _sum_arrays(df: DataFrame, make, width: int) -> np.ndarray:
     while n > 32:
         n = -(-n // 32)
         parts = parts.select(F.pmod(F.spark_partition_id(), F.lit(n)).alias("k"), "v").groupBy("k").applyInArrow(add_up, "k int, v binary")
-    total = np.zeros(width, dtype=np.int64)
+    total = np.zeros(width, dtype=kind)
     for (v,) in parts.select("v").toLocalIterator():
-        total += np.frombuffer(v, dtype=np.int64)
+        total += np.frombuffer(v, dtype=kind)
     return total
 
 

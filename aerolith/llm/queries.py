@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from aerolith.llm.decontamination import OP2_SQL, op2_decontamination
 from aerolith.llm.language_id import op4_language_id
+from aerolith.llm.lm_scoring import op7_lm_scoring
 from aerolith.llm.ngram_join import OP8_SQL, op8_ngram_jaccard_join
 from aerolith.llm.toxicity import op3_toxicity
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op3_toxicity": op3_toxicity,
         "op4_language_id": op4_language_id,
+        "op7_lm_scoring": op7_lm_scoring,
     }
 
 
