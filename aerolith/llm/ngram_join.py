@@ -109,7 +109,7 @@ def _sum_arrays(df: DataFrame, make, width: int, kind=np.int64) -> np.ndarray:
         n = -(-n // 32)
         parts = parts.select(F.pmod(F.spark_partition_id(), F.lit(n)).alias("k"), "v").groupBy("k").applyInArrow(add_up, "k int, v binary")
     total = np.zeros(width, dtype=kind)
-    for (v,) in parts.select("v").toLocalIterator():
+    for (v,) in parts.select("v").collect():
         total += np.frombuffer(v, dtype=kind)
     return total
 

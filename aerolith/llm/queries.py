@@ -10,6 +10,7 @@ from aerolith.llm.decontamination import OP2_SQL, op2_decontamination
 from aerolith.llm.language_id import op4_language_id
 from aerolith.llm.lm_scoring import op7_lm_scoring
 from aerolith.llm.ngram_join import OP8_SQL, op8_ngram_jaccard_join
+from aerolith.llm.secret_scan import op10_secret_scan
 from aerolith.llm.toxicity import op3_toxicity
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_language_id": op4_language_id,
         "op7_lm_scoring": op7_lm_scoring,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 

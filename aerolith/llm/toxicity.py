@@ -323,7 +323,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
         return read
 
-    toxic = [np.array(r.features, dtype=np.int64).view(np.uint64) for r in _per_row(sample, of_toxic, _LONGS).where("label = 1").toLocalIterator()]
+    # bounded by ``most_labels``, as is the second read
+    found = _per_row(sample, of_toxic, _LONGS).where("label = 1").toArrow()["features"].combine_chunks()
+    toxic = [x.values.to_numpy().view(np.uint64) for x in found]
     if not toxic:
         return model
     table, n = np.unique(np.concatenate(toxic), return_counts=True)
@@ -348,11 +350,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
         return read
 
-    seen, y = [], []
-    for r in _per_row(sample, of_candidates, _LONGS).toLocalIterator():
-        seen.append(np.array(r.features, dtype=np.int64))
-        y.append(r.label)
-    return _fitted(model, table, seen, np.array(y, dtype=float))
+    found = _per_row(sample, of_candidates, _LONGS).toArrow()
+    seen = [x.values.to_numpy() for x in found["features"].combine_chunks()]
+    return _fitted(model, table, seen, found["label"].to_numpy().astype(float))
 
 
 def _association(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
