@@ -12,10 +12,12 @@ from aerolith.llm.lm_scoring import op7_lm_scoring
 from aerolith.llm.ngram_join import OP8_SQL, op8_ngram_jaccard_join
 from aerolith.llm.secret_scan import op10_secret_scan
 from aerolith.llm.toxicity import op3_toxicity
+from aerolith.llm.url_filter import OP1_SQL, op1_url_templates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_templates": op1_url_templates,
         "op2_decontamination": op2_decontamination,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op3_toxicity": op3_toxicity,
@@ -27,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_templates": OP1_SQL,
         "op2_decontamination": OP2_SQL,
         "op8_ngram_jaccard_join": OP8_SQL,
     }
