@@ -220,6 +220,18 @@ def _trained(docs: DataFrame, shared, flat: np.ndarray, share: int, rounds: int)
     return flat
 
 
+def _least_count(counts: DataFrame, sure: int) -> int:
+    """The least count that at most ``sure`` tokens reach; above 1000 in steps of a tenth."""
+    step = F.when(F.col("n") <= 1000, F.col("n")).otherwise(F.floor(F.pow(F.lit(1.1), F.floor(F.log(1.1, F.col("n"))))))
+    least, held = 1 << 62, 0
+    for at, many in counts.groupBy(step.cast("long").alias("at")).count().orderBy(F.desc("at")).collect():
+        held += many
+        if held > sure:
+            break
+        least = at
+    return least
+
+
 def score_documents(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, rounds: int = ROUNDS, sure: int = SURE) -> DataFrame:
     """doc_id, held_out (not ``training``), n_tokens, n_known, train_tokens, base_score, score (log10) for every row."""
     spark = docs.sparkSession
@@ -227,23 +239,21 @@ def score_documents(docs: DataFrame, training, *, id_col: str = "doc_id", text_c
     taught = docs.where(~F.col("held_out"))
     counts = stored(taught.select("text").mapInArrow(_token_counts, "token long, kind int, n long").groupBy("token").agg(F.first("kind").alias("kind"), F.sum("n").alias("n")), "counts")
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    common = counts.orderBy(F.desc("n"), "token").limit(sure).toArrow()  # at most ``sure`` rows
-    token = common["token"].to_numpy().view(np.uint64)
-    n = common["n"].to_numpy()
+    common = counts.where(F.col("n") >= _least_count(counts, sure)).toArrow()  # at most ``sure`` rows
+    token, n, kinds = common["token"].to_numpy().view(np.uint64), common["n"].to_numpy(), common["kind"].to_numpy()
     order = np.lexsort((token, -n))
-    token, n = token[order], n[order]
+    token, n, kinds = token[order], n[order], kinds[order]
     shape = rn.Shape(max(1, min(rn.HEAD, len(token))))
     mass = np.zeros(rn.TAIL)
     for kind, k, m in counts.where("kind >= 0").groupBy("kind").agg(F.sum("n"), F.count("*")).collect():
         mass[kind] = k + 0.5 * m
-    kinds = common["kind"].to_numpy()[order][: shape.head]
-    for kind, k in zip(kinds.tolist(), n[: shape.head].tolist(), strict=True):
+    for kind, k in zip(kinds[: shape.head].tolist(), n[: shape.head].tolist(), strict=True):
         if kind >= 0:
             mass[kind] -= k + 0.5
     mass = np.maximum(mass, 0) + 0.5
     known = Counts(token, n)
     number = np.full(len(token), -1, dtype=np.int64)
-    number[known.find(token[: shape.head])] = np.arange(min(shape.head, len(token)))
+    number[known.find(token[: shape.head])] = np.arange(len(token[: shape.head]))
     shared = spark.sparkContext.broadcast(Scorer(known, int(total), int(distinct), mass, shape, number))
     flat = rn.initial(shape, np.pad(n[: shape.head], (0, shape.head - len(n[: shape.head]))), mass)
     flat = _trained(taught, shared, flat, share, rounds)

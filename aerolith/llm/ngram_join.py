@@ -4,11 +4,11 @@ Texts become sets of distinct word shingles.  The join is exact:
 
 1. Bucket counts over all shingles of all texts give the global order (rare
    first; any order is right, this one keeps lists short).
-2. A set of more than ``UNIT`` shingles is dealt by hash into units; if two sets
-   reach the threshold, so does at least one pair of equal-numbered units.  Each
-   unit puts its prefix into inverted lists, with its size, the position, and a
-   256-bit parity map whose distance bounds the symmetric difference from below.
-   Equal sets enter once, as a class.
+2. A large set is dealt by hash into units; if two sets reach the threshold, so
+   does at least one pair of equal-numbered units.  Each unit puts its prefix
+   into inverted lists, with its size and the position.  Lists of one set are
+   dropped; the others' entries get a 256-bit parity map of their unit, whose
+   distance bounds the symmetric difference from below.  Equal sets count as one.
 3. Within a list, in order of size, blocks of partners are skipped by size, by
    position and by parity map.  What passes yields star edges, which are
    contracted to candidate components: each true link lies within one.
@@ -23,6 +23,8 @@ null component and no link; rows that share an id count as linked.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +38,6 @@ from aerolith.llm.scratch import stored
 
 PERCENT = 90
 WORDS = 3
-UNIT = 512
 GROUP = 4_000_000
 ORDER_BITS = 17
 SMALL_LIST = 33
@@ -141,9 +142,14 @@ def shingle_order(docs: DataFrame, text_col: str, n: int = WORDS) -> np.ndarray:
     return np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / usual)), 0, 15).astype(np.uint8)
 
 
-def _level(size: np.ndarray) -> np.ndarray:
+def unit_size(percent: int) -> int:
+    """Most shingles of a unit: so many that similar units differ in about 55 at most, of 256 bits."""
+    return 1 << round(math.log2(55 * (100 + percent) / (2 * max(1, 100 - percent))))
+
+
+def _level(size: np.ndarray, percent: int) -> np.ndarray:
     """2**level units for a set of this size."""
-    return np.ceil(np.log2(np.maximum(size, 1) / UNIT)).clip(0).astype(np.int64)
+    return np.ceil(np.log2(np.maximum(size, 1) / unit_size(percent))).clip(0).astype(np.int64)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -167,7 +173,7 @@ class Signatures:
             for k, fp in enumerate(self.fp):
                 fp[full] = np.add.reduceat(ts.mix64(sets.hash + np.uint64(0x5851F42D4C957F2D * (k + 1) & ts._MASK)), begin)
         # a set near the bound of two levels is indexed at both
-        low, high = _level(sets.size), _level(sets.size * 100 // percent + 1)
+        low, high = _level(sets.size, percent), _level(sets.size * 100 // percent + 1, percent)
         doc, value, level = sets.doc, sets.hash, low[sets.doc]
         twice = np.flatnonzero((low != high)[sets.doc])
         doc, value, level = np.concatenate([doc, doc[twice]]), np.concatenate([value, value[twice]]), np.concatenate([level, high[doc[twice]]])
@@ -240,29 +246,64 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, rank, n: int, percen
 
 
 def _index_rows(batches):
-    """One row for each key of each class's units."""
+    """One row for each key of each unit: key, set, and the unit's number, size and the key's place in it."""
     for batch in batches:
-        node = batch.column(0).to_numpy(zero_copy_only=False)
-        size, keys_of, bits, keys = (batch.column(k) for k in range(1, 5))
+        node = batch.column(0).to_numpy()
+        _, once = np.unique(node, return_index=True)  # copies near each other enter once
+        batch = batch.take(pa.array(np.sort(once)))
+        node = batch.column(0).to_numpy()
+        size, keys_of, keys = (batch.column(k) for k in range(1, 4))
         units = np.diff(size.offsets.to_numpy())
         unit_keys = keys_of.flatten().to_numpy()
         unit = np.repeat(np.arange(len(unit_keys)), unit_keys)
         begin = np.cumsum(unit_keys) - unit_keys
-        table = bits.flatten().to_numpy().reshape(-1, 4)[unit]
-        cols = [
-            pa.array(keys.flatten().to_numpy()),
-            pa.array(np.repeat(node, units)[unit]),
-            pa.array(size.flatten().to_numpy()[unit], pa.int32()),
-            pa.array((np.arange(len(unit)) - begin[unit]).astype(np.int32)),
-            *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(4)),
-        ]
-        whole = pa.RecordBatch.from_arrays(cols, names=_INDEX)
-        for at in range(0, whole.num_rows, 50_000):
-            yield whole.slice(at, 50_000)
+        number = np.arange(len(unit_keys)) - np.repeat(np.cumsum(units) - units, units)
+        place = number[unit] << 32 | size.flatten().to_numpy()[unit].astype(np.int64) << 16 | np.arange(len(unit)) - begin[unit]
+        key, node = keys.flatten().to_numpy(), np.repeat(node, units)[unit]
+        for at in range(0, len(key), 50_000):
+            w = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(key[w]), pa.array(node[w]), pa.array(place[w])], names=["key", "node", "place"])
+
+
+def _shared_keys(batches):
+    """Of rows sorted by key and node: those whose key another node has, each node once a key."""
+    rest = None
+    for batch in batches:
+        key, node, place = (batch.column(k).to_numpy() for k in range(3))
+        if rest is not None:
+            key, node, place = (np.concatenate(x) for x in zip(rest[:3], (key, node, place), strict=True))
+        if not len(key):
+            continue
+        # the last node's rows of the last key stay, with one row before them, for what follows
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node, place = key[fresh], node[fresh], place[fresh]
+        same = key[1:] == key[:-1]
+        keep = np.zeros(len(key), dtype=bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        if rest is not None and rest[3]:
+            keep[0] = False  # given out already
+        yield _shared(key[:-1], node[:-1], place[:-1], keep[:-1])
+        given = False
+        if keep[-1]:
+            yield _shared(key[-1:], node[-1:], place[-1:], keep[-1:])
+            given = True
+        elif rest is not None and rest[3] and len(key) == 1:
+            given = True
+        rest = (key[-1:], node[-1:], place[-1:], given)
+    return
+
+
+def _shared(key, node, place, keep):
+    key, node, place = key[keep], node[keep], place[keep]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key), pa.array(node), pa.array(place >> 32, pa.int32()), pa.array(place >> 16 & 0xFFFF, pa.int32()), pa.array(place & 0xFFFF, pa.int32())],
+        names=["key", "node", "unit", "size", "at"],
+    )
 
 
 _INDEX = ["key", "node", "size", "at", "m0", "m1", "m2", "m3"]
-_INDEX_SCHEMA = "key long, node long, size int, at int, m0 long, m1 long, m2 long, m3 long"
 
 
 class _Lists:
@@ -551,13 +592,16 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     signed = stored(signatures(docs, "id", "text", rank, n, percent), "signatures")
     some = signed.where("n_shingles > 0 and id is not null")
     one = ["n_shingles", "fp0", "fp1"]
-    classes = some.groupBy(*one).agg(F.min("id").alias("class_id"), *(F.first(c).alias(c) for c in ("unit_size", "unit_keys", "unit_map", "keys")))
-    index = classes.select("class_id", "unit_size", "unit_keys", "unit_map", "keys").mapInArrow(_index_rows, _INDEX_SCHEMA)
+    thin = some.select("fp0", "unit_size", "unit_keys", "keys").mapInArrow(_index_rows, "key long, node long, place long")
+    shared = thin.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_keys, "key long, node long, unit int, size int, at int")
+    maps = some.groupBy(F.col("fp0").alias("node")).agg(F.first("unit_map").alias("unit_map"))
+    index = shared.join(maps, "node").select("key", "node", "size", "at", *(F.get("unit_map", F.col("unit") * 4 + k).alias(f"m{k}") for k in range(4)))
     index = index.repartition("key").sortWithinPartitions("key", "size", "node")
     found = components(index.mapInArrow(_edges(percent), "a long, b long"))
 
+    # two classes of one fp0 would enter the same component, which is no harm
     named = some.groupBy(*one).agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
-    members = stored(named.join(found, named["class_id"] == found["node"]).select("class_id", "copies", "n_shingles", "component"), "members")
+    members = stored(named.join(found, named["fp0"] == found["node"]).select("class_id", "copies", "n_shingles", "component"), "members")
     blocks = members.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(group / 2)).cast("int").alias("n")).select("component", F.when(F.col("n") <= 2, 1).otherwise(F.col("n")).alias("n"))
     cut = blocks.where("n > 1").limit(1).count() > 0
     members = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("n")).cast("int"))
