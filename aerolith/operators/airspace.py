@@ -36,23 +36,24 @@ def uncertainty_nm(cfg: Airspace) -> Column:
 def candidates(states: DataFrame, zones: DataFrame, cfg: Airspace) -> DataFrame:
     """Left join of reports and zones whose bounds, widened by the position's uncertainty, hold the report.
 
-    Each zone is keyed by the grid cells that its bounds touch, each report by those its uncertainty touches.  The zones are
-    broadcast when few (counted), and shuffled by cell when not."""
-    df = states.withColumn("uncertainty_nm", uncertainty_nm(cfg)).withColumn("_s", F.monotonically_increasing_id())
-    dy = F.col("uncertainty_nm") / 60
-    dx = dy / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
+    Each zone is keyed by the grid cells that its bounds touch when widened by the largest uncertainty there is, so a report
+    has one cell and meets each zone at most once.  The zones are broadcast when few (counted), and shuffled by cell when not."""
+    widest = max(cfg.default_uncertainty_m, *NIC_RADIUS_M.values()) / geo.M_PER_NM / 60
+    stretch = F.greatest(F.cos(F.radians(F.greatest(F.abs("south"), F.abs("north")) + widest)), F.lit(0.01))
 
     def cells(low: Column, high: Column) -> Column:
         return F.sequence(geo.cell(low, CELL), geo.cell(high, CELL))
 
-    reports = df.withColumn("_cy", F.explode(cells(F.col("lat") - dy, F.col("lat") + dy))).withColumn("_cx", F.explode(cells(F.col("lon") - dx, F.col("lon") + dx)))
-    tiles = zones.withColumn("_cy", F.explode(cells(F.col("south"), F.col("north")))).withColumn("_cx", F.explode(cells(F.col("west"), F.col("east"))))
+    tiles = zones.select(F.struct(*zones.columns).alias("zone"), F.explode(cells(F.col("south") - widest, F.col("north") + widest)).alias("_cy"), (F.col("west") - widest / stretch).alias("_w"), (F.col("east") + widest / stretch).alias("_e"))
+    tiles = tiles.select("zone", "_cy", F.explode(cells(F.col("_w"), F.col("_e"))).alias("_cx"))
     if zones.count() <= BROADCAST_ZONES:
         tiles = F.broadcast(tiles)
-    near = F.col("lat").between(F.col("south") - dy, F.col("north") + dy) & F.col("lon").between(F.col("west") - dx, F.col("east") + dx)
-    pairs = reports.join(tiles, ["_cy", "_cx"]).where(near).dropDuplicates(["_s", "zone_id"])
-    found = pairs.select("_s", F.struct(*(F.col(c) for c in zones.columns)).alias("zone"))
-    return df.join(found, "_s", "left")
+    df = states.withColumns({"uncertainty_nm": uncertainty_nm(cfg), "_s": F.monotonically_increasing_id(), "_y": geo.cell(F.col("lat"), CELL), "_x": geo.cell(F.col("lon"), CELL)})
+    dy = F.col("uncertainty_nm") / 60
+    dx = dy / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
+    z = F.col("zone")
+    near = F.col("lat").between(z["south"] - dy, z["north"] + dy) & F.col("lon").between(z["west"] - dx, z["east"] + dx)
+    return df.join(tiles, (F.col("_y") == F.col("_cy")) & (F.col("_x") == F.col("_cx")) & near, "left").drop("_y", "_x", "_cy", "_cx")
 
 
 def horizontal(df: DataFrame) -> DataFrame:

@@ -83,7 +83,8 @@ def resample(obs: DataFrame, step_s: float, max_gap_s: float, *by: str) -> DataF
     ends = F.array_distinct(F.filter(F.array(F.when(a % step == 0, (a / step).cast("long")), F.when(b % step == 0, (b / step).cast("long"))), lambda t: t.isNotNull()))
     ticks = F.when(blended, F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).otherwise(ends)
     df = df.withColumn("tick", F.explode(ticks))
-    f = F.when(b > a, (F.col("tick") * step - a) / (b - a)).otherwise(0.0)
+    df = df.withColumn("_f", F.when(b > a, (F.col("tick") * step - a) / (b - a)).otherwise(0.0))
+    f = F.col("_f")
     out = {c: F.when(f == 0, F.col(c)).when(f == 1, F.col(f"_n.{c}")).otherwise((geo.lerp_angle if c == "track_deg" else geo.lerp)(F.col(c), F.col(f"_n.{c}"), f)) for c in fields[:6]}
     for c in fields[6:]:  # not blended: of the report before
         out[c] = F.when(f == 1, F.col(f"_n.{c}")).otherwise(F.col(c))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolith.plans import tracking
+from aerolith.plans import encounters, tracking
 
-QUERIES = {**tracking.QUERIES}
-SQL = {**tracking.SQL}
+QUERIES = {**tracking.QUERIES, **encounters.QUERIES}
+SQL = {**tracking.SQL, **encounters.SQL}
