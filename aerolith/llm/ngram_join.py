@@ -24,6 +24,7 @@ null component and no link; rows that share an id count as linked.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -89,29 +90,36 @@ def sort_within(group: np.ndarray, value: np.ndarray, rank: np.ndarray | None =
     return order
 
 
+#: partial sums that one task, or the driver, adds up
+_FAN = 8
+
+
 def _sum_arrays(df: DataFrame, make, width: int, kind=np.int64) -> np.ndarray:
-    """Sum of the arrays that ``make()``'s function adds up over each task's batches, in a tree of at most 32 arrays a task."""
+    """Sum of the arrays that ``make()``'s function adds up over each task's batches, in a tree, compressed on the way."""
+
+    def packed(total):
+        return pa.array([zlib.compress(total.astype(kind).tobytes(), 1)], pa.binary())
 
     def run(batches):
         add, total = make()
         for batch in batches:
             add(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype(kind).tobytes()], pa.binary())], names=["k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), packed(total)], names=["k", "v"])
 
     def add_up(table):
         total = np.zeros(width, dtype=kind)
         for x in table.column("v"):
-            total += np.frombuffer(x.as_buffer(), dtype=kind)
-        return pa.table({"k": pa.array([0], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(zlib.decompress(x.as_buffer()), dtype=kind)
+        return pa.table({"k": pa.array([0], pa.int32()), "v": packed(total)})
 
     parts = df.mapInArrow(run, "k int, v binary")
     n = df.rdd.getNumPartitions()
-    while n > 32:
-        n = -(-n // 32)
+    while n > _FAN:
+        n = -(-n // _FAN)
         parts = parts.select(F.pmod(F.spark_partition_id(), F.lit(n)).alias("k"), "v").groupBy("k").applyInArrow(add_up, "k int, v binary")
     total = np.zeros(width, dtype=kind)
     for (v,) in parts.select("v").collect():
-        total += np.frombuffer(v, dtype=kind)
+        total += np.frombuffer(zlib.decompress(v), dtype=kind)
     return total
 
 

@@ -323,7 +323,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
         return read
 
-    # bounded by ``most_labels``, as is the second read
+    # bounded by ``most_labels``, as is the last read
     found = _per_row(sample, of_toxic, _LONGS).where("label = 1").toArrow()["features"].combine_chunks()
     toxic = [x.values.to_numpy().view(np.uint64) for x in found]
     if not toxic:
@@ -334,25 +334,70 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         table = np.zeros(1, dtype=np.uint64)
     candidates = spark.sparkContext.broadcast(table)
 
-    def of_candidates():
+    width = 2 * len(table)
+
+    def counted():
+        # texts with a feature once, and more than once, by label; then texts by label
+        total = np.zeros(2 * width + 2, dtype=np.int64)
         reader, own = Reader(characters.value), candidates.value
         bits = _bits(own)
 
+        def add(batch):
+            label = batch.column(1).to_numpy(zero_copy_only=False)
+            for chunk in ts.chunks(batch.column(0)):
+                mine = label[chunk.first : chunk.first + chunk.rows]
+                rows, value = _occurring(own, bits, *reader.features(chunk))
+                total[: 2 * width] += np.bincount(value + width * mine[rows], minlength=2 * width)
+                total[2 * width :] += np.bincount(mine, minlength=2)[:2]
+
+        return add, total
+
+    counts = _sum_arrays(sample.withColumn("label", (F.col("label") != 0).cast("int")), counted, 2 * width + 2)
+    b, a = counts[:width], counts[width : 2 * width]
+    n0, n1 = (float(x) for x in counts[2 * width :])
+    if not n0 or not n1:
+        return model
+    g = _association(a, b, n1, n0)
+    fit = np.flatnonzero((a >= min(3, n1)) & (a / n1 > b / n0) & (g > 8))
+    fit = np.sort(fit[np.argsort(-g[fit], kind="stable")][:MOST_FEATURES])
+    used = np.unique(fit // 2)
+    place = np.full(2 * len(used), -1)
+    place[2 * np.searchsorted(used, fit // 2) + fit % 2] = np.arange(len(fit))
+    chosen = spark.sparkContext.broadcast((table[used] if len(used) else np.zeros(1, dtype=np.uint64), place))
+
+    def of_chosen():
+        reader, (own, place) = Reader(characters.value), chosen.value
+        bits = _bits(own)
+
         def read(chunk, label):
-            rows, hashes = reader.features(chunk)
-            i, at = _in(own, bits, hashes)
-            pair, n = np.unique(rows[i] * len(own) + at, return_counts=True)
-            rows, value = pair // len(own), pair % len(own) * 2
-            both = np.flatnonzero(n > 1)
-            rows, value = np.concatenate([rows, rows[both]]), np.concatenate([value, value[both] + 1])
-            order = np.argsort(rows, kind="stable")
-            return rows[order], value[order]
+            rows, value = _occurring(own, bits, *reader.features(chunk))
+            if not len(place):
+                rows, value = rows[:0], value[:0]
+            value = place[value] if len(value) else value
+            return rows[value >= 0], value[value >= 0]
 
         return read
 
-    found = _per_row(sample, of_candidates, _LONGS).toArrow()
-    seen = [x.values.to_numpy() for x in found["features"].combine_chunks()]
-    return _fitted(model, table, seen, found["label"].to_numpy().astype(float))
+    found = _per_row(sample, of_chosen, _LONGS).toArrow()
+    seen = found["features"].combine_chunks()
+    row = np.repeat(np.arange(len(seen)), np.diff(seen.offsets.to_numpy()))
+    w, intercept = _logistic(row, seen.flatten().to_numpy(), (found["label"].to_numpy() != 0).astype(float), len(fit))
+    full = np.zeros((len(used), 2))
+    full[np.searchsorted(used, fit // 2), fit % 2] = w
+    model.intercept, model.table = float(intercept), table[used]
+    model.once, model.again = full[:, 0], full[:, 1]
+    return model
+
+
+def _occurring(own: np.ndarray, bits: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and twice the place of each feature of ``own`` in a text, and plus one if it is there more than once; by row."""
+    i, at = _in(own, bits, hashes)
+    pair, n = np.unique(rows[i] * len(own) + at, return_counts=True)
+    rows, value = pair // len(own), pair % len(own) * 2
+    both = np.flatnonzero(n > 1)
+    rows, value = np.concatenate([rows, rows[both]]), np.concatenate([value, value[both] + 1])
+    order = np.argsort(rows, kind="stable")
+    return rows[order], value[order]
 
 
 def _association(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -365,31 +410,6 @@ def _association(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarr
     return 2 * (part(a, total * n1 / n) + part(b, total * n0 / n) + part(n1 - a, (n - total) * n1 / n) + part(n0 - b, (n - total) * n0 / n))
 
 
-def _fitted(model: Model, table: np.ndarray, seen: list[np.ndarray], y: np.ndarray) -> Model:
-    n1, n0 = y.sum(), len(y) - y.sum()
-    if not n1 or not n0:
-        return model
-    width = 2 * len(table)
-    column = np.concatenate(seen) if seen else np.zeros(0, dtype=np.int64)
-    row = np.repeat(np.arange(len(y)), [len(s) for s in seen])
-    a = np.bincount(column, y[row], minlength=width)
-    b = np.bincount(column, minlength=width) - a
-    g = _association(a, b, n1, n0)
-    fit = np.flatnonzero((a >= min(3, n1)) & (a / n1 > b / n0) & (g > 8))
-    fit = np.sort(fit[np.argsort(-g[fit], kind="stable")][:MOST_FEATURES])
-    place = np.full(width, -1)
-    place[fit] = np.arange(len(fit))
-    kept = place[column] >= 0
-    column, row = place[column[kept]], row[kept]
-    w, intercept = _logistic(row, column, y, len(fit))
-    full = np.zeros(width)
-    full[fit] = w
-    used = np.flatnonzero(full.reshape(-1, 2).any(axis=1))
-    model.intercept, model.table = float(intercept), table[used]
-    model.once, model.again = full[2 * used], full[2 * used + 1]
-    return model
-
-
 def _logistic(row, column, y, width, *, ridge: float = 0.2, steps: int = 400, rate: float = 0.5):
     w, b = np.zeros(width), np.log(y.mean() / (1 - y.mean()))
     seen, seen_b = np.full(width, 1e-8), 1e-8
