@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolith.plans import encounters, tracking
+from aerolith.plans import encounters, serving, tracking
 
-QUERIES = {**tracking.QUERIES, **encounters.QUERIES}
-SQL = {**tracking.SQL, **encounters.SQL}
+QUERIES = {**tracking.QUERIES, **encounters.QUERIES, **serving.QUERIES}
+SQL = {**tracking.SQL, **encounters.SQL, **serving.SQL}
