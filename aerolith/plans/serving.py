@@ -12,8 +12,8 @@ from aerolith.functions.tables import RC_TO_NIC, rc_to_nic
 from aerolith.operators import observations, reports, serving, tracks
 from aerolith.operators.airspace import hits as airspace_hits
 from aerolith.operators.gates import pair_gates
-from aerolith.plans import base, encounters, tracking
-from aerolith.plans.tracking import OBS, PAIRS, SCORED, SEG, H, r3, us
+from aerolith.plans import base, detectors, encounters, tracking
+from aerolith.plans.tracking import OBS, PAIRS, SCORED, H, r3, us
 from aerolith.sinks import tables as sinks
 from aerolith.streaming import episodes as stream_episodes
 from aerolith.streaming import live
@@ -130,8 +130,8 @@ _SHIFT = "CASE WHEN seq % 4 = 0 THEN us + 1000000 ELSE us END"
 
 
 @query(
-    f"WITH {OBS}, raw AS (SELECT icao24 AS i, unnest(list_distinct([us, {_SHIFT}])) AS at, seq AS line, CASE WHEN seq % 3 = 0 THEN altitude_ft + 100 ELSE altitude_ft END AS ab, altitude_ft AS ag FROM obs WHERE seq % 10 <> 0), "
-    "j AS (SELECT obs.*, line, CASE WHEN line IS NULL THEN 'unmatched' WHEN coalesce(abs(altitude_ft - ab) <= 0.5, false) THEN 'baro' WHEN coalesce(abs(altitude_ft - ag) <= 0.5, false) THEN 'geom' ELSE 'other' END AS source FROM obs LEFT JOIN raw ON i = icao24 AND at = us), "
+    f"WITH {OBS}, raw AS (SELECT icao24 AS i, unnest(list_distinct([us, {_SHIFT}])) AS t, seq AS line, CASE WHEN seq % 3 = 0 THEN altitude_ft + 100 ELSE altitude_ft END AS ab, altitude_ft AS ag FROM obs WHERE seq % 10 <> 0), "
+    "j AS (SELECT obs.*, line, CASE WHEN line IS NULL THEN 'unmatched' WHEN coalesce(abs(altitude_ft - ab) <= 0.5, false) THEN 'baro' WHEN coalesce(abs(altitude_ft - ag) <= 0.5, false) THEN 'geom' ELSE 'other' END AS source FROM obs LEFT JOIN raw ON i = icao24 AND t = us), "
     "b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY seq ORDER BY CASE WHEN source IN ('baro', 'geom') THEN 0 ELSE 1 END, line) = 1) SELECT source, count(*) AS n FROM b GROUP BY source"
 )
 def altitude_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +270,37 @@ def exit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.exit_summary(airspace.exit_reasons(rows), rows.where("reason = 'detection'").count()).drop("exits")
 
 
+# --- detectors
+
+
+@query(
+    f"""WITH {SCORED} SELECT 'spoofing' AS detector_id, severity, count(*) AS findings FROM detections WHERE NOT abstains GROUP BY severity"""
+)
+def spoofing_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detectors.run(base.obs(spark, sf_dir), [detectors.build("spoofing", cfg=C, registry=base.registry(spark, sf_dir))])
+    return found.groupBy("detector_id", "severity").agg(F.count("*").alias("findings"))
+
+
+@query(f"WITH {encounters.SLOTS} SELECT 'icao24:' || icao24_a AS first, 'icao24:' || icao24_b AS second, start_us, severity, confidence FROM slots WHERE severity = 'HIGH'")
+def proximity_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detectors.run(base.obs(spark, sf_dir), [detectors.build("proximity", cfg=base.PROXIMITY)], dedup=True).where("severity = 'HIGH'")
+    return found.select(F.get("entity_ids", F.lit(0)).alias("first"), F.get("entity_ids", F.lit(1)).alias("second"), us("start_at").alias("start_us"), "severity", "confidence")
+
+
+@query(f"WITH {encounters.EPISODES} SELECT 'icao24:' || icao24 AS aircraft, 'zone:' || zone_id AS zone, start_us, end_us, {r3('confidence')} AS confidence FROM ep")
+def airspace_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detectors.run(base.obs(spark, sf_dir), [detectors.build("no_fly_zone", zones=base.zones(spark), cfg=base.AIRSPACE)])
+    return found.select(F.get("entity_ids", F.lit(0)).alias("aircraft"), F.get("entity_ids", F.lit(1)).alias("zone"), us("start_at").alias("start_us"), us("end_at").alias("end_us"), base.r3("confidence").alias("confidence"))
+
+
+@query()
+def detection_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all detectors as JSON documents, one for each key."""
+    o = base.obs(spark, sf_dir)
+    all_ = [detectors.build("example_altitude", cfg=base.ALTITUDE), detectors.build("spoofing", cfg=C, registry=base.registry(spark, sf_dir)), detectors.build("no_fly_zone", zones=base.zones(spark), cfg=base.AIRSPACE)]
+    return sinks.as_json(detectors.replay(o, all_))
+
+
 # --- streams
 
 
@@ -285,6 +316,15 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _in_order(rows: DataFrame, time: str, path: str, parts: int = 3) -> None:
+    """Write a table as files one after the other in time, as a feed would."""
+    cuts = rows.approxQuantile(time, [k / parts for k in range(1, parts)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.where(F.col(time) >= low)
+        part = part if high is None else part.where(F.col(time) < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
 def _ran(writer, checkpoint: str) -> None:
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -294,7 +334,7 @@ def _ran(writer, checkpoint: str) -> None:
 def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tumbling windows of a stream, upserted batch by batch."""
     at = _scratch(spark, "stream")
-    base.obs(spark, sf_dir).repartitionByRange(3, "observed_at").write.parquet(f"{at}/in")
+    _in_order(base.obs(spark, sf_dir).withColumn("us", us("observed_at")), "us", f"{at}/in")
     counted = live.tumbling(_stream(spark, f"{at}/in"), 86_400, lateness_s=120 * 86_400)
     keyed = counted.withColumn("key", F.concat_ws("@", "icao24", us("window_start").cast("string")))
     table = sinks.VersionedTable(spark, f"{at}/out", keyed.schema)
@@ -307,13 +347,11 @@ def streaming_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incursion episodes by stateful streaming: the same as in batch."""
     at = _scratch(spark, "episodes")
     rows = encounters._evaluated(spark, sf_dir)
-    listed = stream_episodes.report_lists(rows, airspace_hits(rows, base.AIRSPACE))
-    listed.repartitionByRange(3, "us").write.parquet(f"{at}/in")
-    found = stream_episodes.episodes(_stream(spark, f"{at}/in"), base.AIRSPACE)
+    stream_episodes.report_lists(rows, airspace_hits(rows, base.AIRSPACE)).write.parquet(f"{at}/reports")
+    listed = spark.read.parquet(f"{at}/reports")
+    _in_order(listed.withColumn("us", F.col("us").cast("long")), "us", f"{at}/in")
+    found = stream_episodes.episodes(_stream(spark, f"{at}/in"), base.AIRSPACE, forget=False)
     keyed = found.withColumn("key", F.concat_ws("@", "icao24", "zone_id", F.col("start_us").cast("string")))
     table = sinks.VersionedTable(spark, f"{at}/out", keyed.schema)
     _ran(live.upserting(keyed, table, "key", "end_us", "hits", kept=("key",)), f"{at}/check")
     return table.read().select("icao24", "zone_id", "start_us", "end_us", "hits", base.r3("confidence").alias("confidence"))
-
-
-__all__ = ["QUERIES", "SEG", "SQL"]

@@ -48,12 +48,13 @@ class Tracker:
             e |= {"end": at, "hits": e["hits"] + 1, "clear": 0, "best": max(e["best"], e["run_best"] * ramp)}
 
 
-def episodes(reports: DataFrame, cfg: Airspace) -> DataFrame:
+def episodes(reports: DataFrame, cfg: Airspace, *, forget: bool = True) -> DataFrame:
     """reports (stream): icao24, us, seq, hits (array of zone_id, confidence; empty: clear).
 
     Update mode: rows of episodes that closed, and of all that are open, so that the last row of a key (icao24, zone_id,
     start_us) is its present state.  A report no later than one of an earlier batch is dropped for its aircraft only, and an
-    aircraft that is silent for the retention is forgotten."""
+    aircraft that is silent for the retention is forgotten, unless ``forget`` is off: a query that ends when its input does must
+    not wait for timeouts."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -75,10 +76,11 @@ def episodes(reports: DataFrame, cfg: Airspace) -> DataFrame:
         for zone, e in tracker.open.items():
             add(zone, e, "OPEN")
         state.update((json.dumps(tracker.state()),))
-        state.setTimeoutDuration(int(cfg.seen_retention_s * 1000))
+        if forget:
+            state.setTimeoutDuration(int(cfg.seen_retention_s * 1000))
         yield pd.DataFrame(rows, columns=["icao24", "zone_id", "start_us", "end_us", "hits", "confidence", "status"])
 
-    return reports.groupBy("icao24").applyInPandasWithState(run, OUTPUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return reports.groupBy("icao24").applyInPandasWithState(run, OUTPUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def report_lists(evaluated: DataFrame, hits: DataFrame) -> DataFrame:
