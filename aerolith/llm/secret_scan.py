@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 
 SAMPLE = 2_000
 RANDOM_STRINGS = 4_000
+#: weight, in pairs, of the characters' own frequencies in the models
+BACKOFF = 20.0
 #: least mean log-likelihood ratio of an added span, in nats a character
 LEAST = 0.5
+#: fewest different characters of an added span: a short pattern repeated is not random
+DISTINCT = 8
 
 #: fixed values
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -94,7 +98,7 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
     kind = F.pmod("id", F.lit(4))
     wide = F.base64(F.unhex(digest))
     return spark.range(n).select(
-        F.when(kind == 0, F.substring(digest, 1, 40)).when(kind == 1, F.upper(F.substring(digest, 1, 40))).when(kind == 2, F.substring(wide, 1, 40)).otherwise(F.regexp_replace(F.substring(wide, 1, 40), "[+/=]", "x")).alias("s"),
+        F.when(kind == 0, F.substring(digest, 1, 40)).when(kind == 1, F.upper(F.substring(digest, 1, 40))).when(kind == 2, F.substring(wide, 1, 40)).otherwise(F.regexp_replace(F.substring(wide, 1, 40), "[+/=]", "")).alias("s"),
         F.lit(1).alias("label"),
     )
 
@@ -112,16 +116,18 @@ def ordinary_strings(docs: DataFrame, text_col: str, most: int = SAMPLE) -> Data
 def ratio_table(strings: DataFrame) -> list[float]:
     """log P(next | character, random) - log P(next | character, ordinary), row by row; collected counts are at most two alphabets squared."""
     n = len(ALPHABET)
-    counts = [[[0.5] * n for _ in range(n)] for _ in range(2)]
+    counts = [[[0.0] * n for _ in range(n)] for _ in range(2)]
     for label, pair, count in _bigrams(strings).collect():
         a, b = ALPHABET.find(pair[0]), ALPHABET.find(pair[1])
         if a >= 0 and b >= 0:
             counts[label][a][b] += count
-    out = []
-    for a in range(n):
-        ordinary, chance = sum(counts[0][a]), sum(counts[1][a])
-        out += [math.log(counts[1][a][b] / chance) - math.log(counts[0][a][b] / ordinary) for b in range(n)]
-    return out
+    logs = []
+    for own in counts:
+        # unseen pairs fall back on how common the second character is
+        single = [0.5 + sum(row[b] for row in own) for b in range(n)]
+        whole = sum(single)
+        logs.append([math.log((own[a][b] + BACKOFF * single[b] / whole) / (sum(own[a]) + BACKOFF)) for a in range(n) for b in range(n)])
+    return [r - o for o, r in zip(*logs, strict=True)]
 
 
 def learn(docs: DataFrame, *, text_col: str = "text", most: int = SAMPLE) -> list[float]:
@@ -143,7 +149,7 @@ def scan(docs: DataFrame, table: list[float], *, text_col: str = "text", least:
     """Adds ``base_spans`` and ``spans``: arrays of start, kind (place in KINDS), stop, text, by start and kind."""
     df = _base(with_matches(docs, text_col))
     # only runs that look random are located, and only where there are any
-    df = df.withColumn("_odd", F.expr(f"filter(_key, s -> {_randomness('s', table)} >= {least})"))
+    df = df.withColumn("_odd", F.expr(f"filter(_key, s -> size(array_distinct(split(s, ''))) >= {DISTINCT} and {_randomness('s', table)} >= {least})"))
     where = _located("_text", "_key", KEY, 3)
     added = f"case when size(_odd) = 0 then {_NONE} else filter({where}, x -> array_contains(_odd, x.text) and not exists(_base, b -> b.start < x.stop and x.start < b.stop)) end"
     df = df.withColumn("_added", F.expr(added))

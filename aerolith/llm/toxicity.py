@@ -261,7 +261,7 @@ class Model:
                 pair, n = np.unique(rows[i] * len(self.table) + at, return_counts=True)
                 k = pair % len(self.table)
                 z += np.bincount(pair // len(self.table), self.once[k] + np.where(n > 1, self.again[k], 0), minlength=chunk.rows)
-            return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
         return score
 
