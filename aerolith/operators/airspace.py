@@ -128,12 +128,18 @@ def evaluated(states: DataFrame, zones: DataFrame, cfg: Airspace, terrain: Colum
         .when(F.col("activation") == "INACTIVE", "zone_inactive")
         .otherwise("detection")
     )
-    return df.withColumn("reason", reason)
+    # filters on the reason stay above (see ``only``): pushed down they would work out geometry and schedules once more for each mention
+    return df.withColumns({"reason": reason, "_fence": F.monotonically_increasing_id()})
+
+
+def only(rows: DataFrame, reason: str) -> DataFrame:
+    """Evaluated reports of one reason."""
+    return rows.where((F.col("reason") == reason) & (F.col("_fence") >= 0))
 
 
 def hits(rows: DataFrame, cfg: Airspace) -> DataFrame:
     """Scored detections of single reports."""
-    df = rows.where("reason = 'detection'").withColumns({"zone_id": F.col("zone.zone_id"), "zone_type": F.col("zone.zone_type"), "signals": signals(cfg)})
+    df = only(rows, "detection").withColumns({"zone_id": F.col("zone.zone_id"), "zone_type": F.col("zone.zone_type"), "signals": signals(cfg)})
     df = df.withColumns(
         {
             "score": scoring.incursion_score(F.col("zone_type"), F.col("depth_nm"), weight(F.col("signals"), cfg), cfg),

@@ -267,7 +267,7 @@ def exit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerolith.operators import airspace
 
     rows = encounters._evaluated(spark, sf_dir)
-    return sinks.exit_summary(airspace.exit_reasons(rows), rows.where("reason = 'detection'").count()).drop("exits")
+    return sinks.exit_summary(airspace.exit_reasons(rows), airspace.only(rows, "detection").count()).drop("exits")
 
 
 # --- detectors
