@@ -105,11 +105,11 @@ def templates(urls: DataFrame) -> DataFrame:
     apart = (told > 0) & (F.abs(F.col("bad") / F.nullif(told, F.lit(0)) - F.col("p")) > 2 * F.sqrt(F.col("p") * (1 - F.col("p")) / (told + 1)) + 1 / (told + 1))
     leaves = stored(leaves.join(families, ["host", "family"]).withColumn("branch", F.when(F.coalesce(apart, F.lit(False)), F.col("template")).otherwise(F.col("family"))), "leaves")
     hosts = _totals("host", df=leaves).withColumnsRenamed({"bad": "host_bad", "good": "host_good"}).drop("n")
-    # one row: the counts of everything
-    everything = hosts.agg(F.sum("host_bad").alias("all_bad"), F.sum("host_good").alias("all_good"))
-    prior = (F.col("all_bad") + 0.5) / (F.col("all_bad") + F.col("all_good") + 1)
+    # two numbers: the labels of everything
+    all_bad, all_good = leaves.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    prior = F.lit((all_bad + 0.5) / (all_bad + all_good + 1))
     of_host = (F.col("host_bad") + SMOOTHING * prior) / (F.col("host_bad") + F.col("host_good") + SMOOTHING)
-    branches = _totals("host", "branch", df=leaves).join(hosts, "host").join(F.broadcast(everything))
+    branches = _totals("host", "branch", df=leaves).join(hosts, "host")
     branches = branches.withColumn("purity", (F.col("bad") + SMOOTHING * of_host) / (F.col("bad") + F.col("good") + SMOOTHING)).select("host", "branch", "purity", (F.col("purity") >= REJECT).alias("rejected"))
     named = leaves.select("host", "template", "branch").join(branches, ["host", "branch"])
     return tree.select("host", *SEGMENTS, "template").join(named, ["host", "template"])

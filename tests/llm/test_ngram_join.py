@@ -106,6 +106,24 @@ def test_large_lists_span_all_that_passes(monkeypatch):
     assert parts(100) == 1
 
 
+def test_keys_of_several_sets_across_batches():
+    """Whatever the batches, each set is given out once for each key that another set has."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    for _ in range(60):
+        rows = sorted((rng.randrange(12), rng.randrange(4)) for _ in range(rng.randint(1, 40)))
+        key, node = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
+        whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(node << 32 | 7 << 16 | 3)], names=["key", "node", "place"])
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows) + 1) for _ in range(6))})
+        out = [r for b in nj._shared_keys(iter([whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)])) for r in b.to_pylist()]
+        sets = {}
+        for k, n in rows:
+            sets.setdefault(k, set()).add(n)
+        want = sorted((k, n, n, 7, 3) for k, ns in sets.items() if len(ns) > 1 for n in ns)
+        assert sorted(tuple(r.values()) for r in out) == want
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
