@@ -66,18 +66,27 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
 
         def add(batch):
             for chunk in ts.chunks(batch.column(0)):
-                code = _CODE[chunk.data[chunk.data != 0xC3]]
-                if len(code) < 3:
-                    continue
-                one, two = code[1:-1], np.where(code[1:-1] == 0, 0, code[:-2])
-                used = (one != 0) | (code[2:] != 0)
-                total[:] += np.bincount((((two << 6) + one << 6) + code[2:])[used], minlength=width)
+                total[:] += np.bincount(_trigrams(chunk), minlength=width)
 
         return add, total
 
     return _sum_arrays(docs.select(text_col), make, width)
 
 
+def _trigrams(chunk: ts.Chunk) -> np.ndarray:
+    """Number of each trigram; a text's first symbols have nothing before them."""
+    kept = chunk.data != 0xC3
+    code = _CODE[chunk.data[kept]]
+    begin = np.concatenate([[0], np.cumsum(kept)])[chunk.bounds[:-1]]
+    one, two = np.concatenate([[0], code[:-1]])[: len(code)], np.concatenate([[0, 0], code[:-2]])[: len(code)]
+    one[begin[begin < len(code)]] = 0
+    two[begin[begin < len(code)]] = 0
+    two[begin[begin + 1 < len(code)] + 1] = 0
+    two[one == 0] = 0
+    used = (one != 0) | (code != 0)
+    return (((two << 6) + one << 6) + code)[used]
+
+
 class CharacterModel:
     """log10 P(symbol | two before), interpolated with lower orders."""
 
@@ -161,9 +170,13 @@ def disguised(chunk: ts.Chunk) -> list[tuple[int, int, int]]:
         return []
     out: list[tuple[int, int, int]] = []
     low = ts.LOWER[data]
+    # what stands together must be of one text
+    last = np.zeros(len(data) + 1, dtype=bool)
+    last[chunk.bounds[1:] - 1] = True
+    last = last[: len(data)]
     odd = np.zeros(len(data), dtype=bool)
-    odd[:-1] = _LEET[data[:-1]] & ts.LETTER[data[1:]]
-    odd[:-2] |= (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & _ASCII_LETTER[data[:-2]]
+    odd[:-1] = _LEET[data[:-1]] & ts.LETTER[data[1:]] & ~last[:-1]
+    odd[:-2] |= (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & _ASCII_LETTER[data[:-2]] & ~last[:-2] & ~last[1:-1]
     at = np.flatnonzero(odd)
     if len(at):
         words = chunk.words(ts.NON_SPACE)

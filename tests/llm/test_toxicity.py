@@ -59,3 +59,13 @@ def test_without_labels(spark, documents):
 def test_places():
     chunk = ts.of_texts(["an 1d10t here", "l o u d", "looooong", "plain words, 12 of 3", "a b", "i.d.i.o.t"])
     assert [(r, chunk.data[a:b].tobytes().decode()) for r, a, b in sorted(tx.disguised(chunk))] == [(0, "1d10t"), (1, "l o u d"), (2, "looooong"), (5, "i.d.i.o.t")]
+
+
+def test_texts_do_not_touch(odd_texts):
+    """What a text gives does not depend on its neighbours in the chunk."""
+    texts = [*odd_texts, "3", "ab", "aa", "a", "$", "x", "t 1", "diot", "i d", "i o"]
+    together = ts.of_texts(texts)
+    alone = [ts.of_texts([t]) for t in texts]
+    assert sorted(np.concatenate([tx._trigrams(c) for c in alone]).tolist()) == sorted(tx._trigrams(together).tolist())
+    places = [(k, c.data[a:b].tobytes()) for k, c in enumerate(alone) for _, a, b in tx.disguised(c)]
+    assert sorted((r, together.data[a:b].tobytes()) for r, a, b in tx.disguised(together)) == sorted(places)
