@@ -414,22 +414,36 @@ def _large_list(rows: _Lists, begin: int, end: int, label: np.ndarray, percent:
             own[np.isin(own, own[got])] = own[k]
 
 
+def _chained(rows: _Lists, end: int, percent: int):
+    """Pairs of neighbours among the first ``end`` rows whose sizes fit: they count as passing."""
+    i = np.arange(end - 1)
+    i = i[rows.size[i] * 100 >= rows.size[i + 1] * percent]
+    return _pairs(rows.node[i], rows.node[i + 1])
+
+
 def _edges(percent: int):
     def run(batches):
         rest: _Lists | None = None
+        chained = False  # whether the list of the row in ``rest`` is chained: then it is to its end
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = _Lists.of(batch)
             if rest is not None:
                 rows = rest.join(rows)
+            if chained:
+                end = int(np.searchsorted(rows.key, rows.key[0], side="right"))
+                yield _chained(rows, end, percent)
+                chained = end == len(rows)
+                rows = rows.take(np.arange(end - chained, len(rows)))
+                if chained:
+                    rest = rows
+                    continue
             cut = int(np.searchsorted(rows.key, rows.key[-1])) if rows.key[0] != rows.key[-1] else 0
             if not cut and len(rows) > LARGE_LIST:
-                # neighbours count as passing; the last row stays for what follows
-                i = np.arange(len(rows) - 1)
-                i = i[rows.size[i] * 100 >= rows.size[i + 1] * percent]
-                yield _pairs(rows.node[i], rows.node[i + 1])
-                rest = rows.take(np.arange(len(rows) - 1, len(rows)))
+                # the last row stays for what follows
+                yield _chained(rows, len(rows), percent)
+                rest, chained = rows.take(np.arange(len(rows) - 1, len(rows))), True
                 continue
             rest = rows.take(np.arange(cut, len(rows)))
             if cut:

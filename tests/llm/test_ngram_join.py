@@ -106,6 +106,37 @@ def test_large_lists_span_all_that_passes(monkeypatch):
     assert parts(100) == 1
 
 
+def test_chained_lists_are_chained_to_their_end(monkeypatch):
+    """A list that has once passed the limit links what follows as well, whatever the parity maps of the row between."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    maps = rng.integers(0, 1 << 62, (257, 4), dtype=np.int64)
+    maps[230] = maps[10]
+    key = np.array([0] * 250 + [1] * 3 + [2] * 4)
+    size = np.array([200] * 240 + [300] * 10 + [200] * 7)
+    maps[251] = maps[250]
+    cols = [pa.array(key), pa.array(np.arange(257)), pa.array(size, pa.int32()), pa.array(np.zeros(257), pa.int32()), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(4))]
+    whole = pa.RecordBatch.from_arrays(cols, names=nj._INDEX)
+    monkeypatch.setattr(nj, "LARGE_LIST", 100)
+    for cuts in ([0, 200, 257], [0, 200, 250, 257], [0, 101, 201, 202, 251, 257], [0, 257]):
+        parent = list(range(257))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for out in nj._edges(90)(iter([whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)])):
+            for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                parent[root(a)] = root(b)
+        parts = {}
+        for x in range(257):
+            parts.setdefault(root(x), []).append(x)
+        # one chain for each size, then lists that are compared: one pair of equal maps
+        assert sorted(parts.values()) == [list(range(240)), list(range(240, 250)), [250, 251], *([x] for x in range(252, 257))]
+
+
 def test_keys_of_several_sets_across_batches():
     """Whatever the batches, each set is given out once for each key that another set has."""
     import pyarrow as pa
