@@ -6,10 +6,11 @@ commonest tokens and their counts are broadcast (a fixed bound); the counts of
 all others come by a shuffle join on the token's hash, pre-aggregated by text.
 
 The recurrent model (``recurrent.py``) is trained where the data are: in each of
-``ROUNDS`` rounds every task trains a copy on its own share, one in ``SHARE`` of
-its training texts, and the copies are averaged by tokens in a tree, so what is
-learnt from grows with the input.  A text is scored to its end: the state is
-carried over all its tokens.
+``ROUNDS`` rounds every task trains a copy on its part of the training texts, and
+the copies are averaged by tokens in a tree.  The rounds divide the texts by the
+hash of their id: each is learnt from once (``SHARE`` is 1; a larger one would
+leave the others out).  A text is scored to its end: the state is carried over
+all its tokens.
 
 A null text is an empty one: its only token is the end.  Rows with a null id are
 scored and count as training rows by the remainder of the empty id.
@@ -31,7 +32,7 @@ from aerolith.llm.toxicity import remainder
 
 SURE = 1 << 19
 ROUNDS = 2
-SHARE = 32
+SHARE = 1
 BATCH_BYTES = 12 << 20
 END = np.uint64(0x1D8AF066D1F3C9A5)
 

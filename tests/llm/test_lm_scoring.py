@@ -35,6 +35,21 @@ def test_base_score(documents, odd_texts, sure):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) and math.isfinite(r.score) and r.score < 0
 
 
+def test_learns_from_every_training_text(documents, odd_texts, monkeypatch):
+    """As the query calls it: each token of each training text reaches the trainer once."""
+    texts = odd_texts + [f"the cat sat on mat {k % 7} and the dog {k}" for k in range(60)]
+    learnt, add_up = [], lm._sum_arrays
+
+    def held(*a):
+        learnt.append(add_up(*a))
+        return learnt[-1]
+
+    monkeypatch.setattr(lm, "_sum_arrays", held)
+    rows = lm.score_documents(documents(texts), remainder("doc_id", 5) != 1).collect()
+    assert len(learnt) == lm.ROUNDS and all(x[-1] > 0 for x in learnt)
+    assert sum(x[-1] for x in learnt) == rows[0].train_tokens
+
+
 def test_empty_table(documents):
     assert lm.score_documents(documents(["a"]).limit(0), remainder("doc_id", 5) != 1).count() == 0
 
