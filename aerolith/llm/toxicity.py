@@ -1,8 +1,8 @@
 """Toxicity: noisy-channel restoration of disguised words, then a linear score.
 
 A character trigram model is counted over all texts.  Places where text may be
-disguised (symbols or digits before letters, letters three times or more in a
-row, single letters with gaps between) become lattices: a symbol may stand for
+disguised (symbols or digits beside letters, letters three times or more in a
+row, three or more single letters with gaps between) become lattices: a symbol may stand for
 letters, a repetition for one or two letters, a gap for nothing or a space.
 Viterbi decoding finds the likeliest reading under the trigram model; any other
 place has one reading, itself.  The words of the text and of the readings, and
@@ -117,9 +117,6 @@ class CharacterModel:
                         to = (to[1], k) if k else (0, 0)
                     if s > now.get(to, -1e18):
                         now[to], came[to] = s, (state, out)
-            if len(now) > 24:
-                kept = sorted(now, key=now.get, reverse=True)[:24]
-                now = {k: now[k] for k in kept}
             best = now
             back.append(came)
         end = max(best, key=lambda s: best[s] + float(log[s[0], s[1], 0]))
@@ -161,12 +158,17 @@ _ALONE = ts.LETTER.copy()
 _ALONE[0x30:0x3A] = _ALONE[[ord("@"), ord("$")]] = True
 _ASCII_LETTER = np.zeros(256, dtype=bool)
 _ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
+#: first bytes of letters of two bytes
+_LEAD = np.zeros(256, dtype=bool)
+_LEAD[0xC3:0xE0] = True
+#: most bytes between spaced letters
+GAP = 5
 
 
 def disguised(chunk: ts.Chunk) -> list[tuple[int, int, int]]:
     """Places that may be disguised: row, first and last byte."""
     data = chunk.data
-    if len(data) < 3:
+    if len(data) < 2:
         return []
     out: list[tuple[int, int, int]] = []
     low = ts.LOWER[data]
@@ -175,8 +177,15 @@ def disguised(chunk: ts.Chunk) -> list[tuple[int, int, int]]:
     last[chunk.bounds[1:] - 1] = True
     last = last[: len(data)]
     odd = np.zeros(len(data), dtype=bool)
-    odd[:-1] = _LEET[data[:-1]] & ts.LETTER[data[1:]] & ~last[:-1]
+    leet, letter = _LEET[data], ts.LETTER[data]
+    beside = (leet[:-1] & letter[1:] | letter[:-1] & leet[1:]) & ~last[:-1]
+    odd[:-1] = beside
     odd[:-2] |= (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & _ASCII_LETTER[data[:-2]] & ~last[:-2] & ~last[1:-1]
+    if len(data) >= 6:
+        again = _LEAD[data[:-2]] & (data[:-2] == data[2:]) & ~last[1:-1]
+        again[:-1] &= data[1:-2] == data[3:]
+        again[-1] = False
+        odd[:-4] |= again[:-2] & again[2:]
     at = np.flatnonzero(odd)
     if len(at):
         words = chunk.words(ts.NON_SPACE)
@@ -185,14 +194,15 @@ def disguised(chunk: ts.Chunk) -> list[tuple[int, int, int]]:
         rows = np.searchsorted(words.of, hit, side="right") - 1
         out += list(zip(rows.tolist(), words.start[hit].tolist(), words.stop[hit].tolist(), strict=True))
     words = chunk.words(_ALONE)
-    if len(words) >= 4:
-        alone = words.stop - words.start == 1
+    if len(words) >= 3:
+        size = words.stop - words.start
+        alone = (size == 1) | (size == 2) & _LEAD[data[words.start]]
         near = np.zeros(len(words), dtype=bool)
-        near[1:] = alone[1:] & alone[:-1] & (words.start[1:] - words.stop[:-1] <= 2)
-        near[np.minimum(words.of[:-1], len(words) - 1)] = False
+        near[1:] = alone[1:] & alone[:-1] & (words.start[1:] - words.stop[:-1] <= GAP)
+        near[words.of[:-1][words.of[:-1] < len(words)]] = False
         edge = np.diff(np.concatenate([[0], near.astype(np.int8), [0]]))
         first, last = np.flatnonzero(edge == 1) - 1, np.flatnonzero(edge == -1) - 1
-        long = last - first >= 3
+        long = last - first >= 2
         first, last = first[long], last[long]
         rows = np.searchsorted(words.of, first, side="right") - 1
         out += list(zip(rows.tolist(), words.start[first].tolist(), words.stop[last].tolist(), strict=True))

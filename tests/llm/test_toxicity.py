@@ -61,6 +61,42 @@ def test_places():
     assert [(r, chunk.data[a:b].tobytes().decode()) for r, a, b in sorted(tx.disguised(chunk))] == [(0, "1d10t"), (1, "l o u d"), (2, "looooong"), (5, "i.d.i.o.t")]
 
 
+def test_places_of_all_disguises():
+    """Substitutions at the end and in runs, three spaced letters, wide gaps, letters of two bytes; an empty text after them."""
+    said = ["a$$", "a55", "p1$$", "s#!+", "hat3", "di3", "d i e", "f - u - c - k", "b\u00f6\u00f6\u00f6se", "b \u00f6 s e", ""]
+    chunk = ts.of_texts(said)
+    assert [(r, chunk.data[a:b].tobytes().decode()) for r, a, b in sorted(tx.disguised(chunk))] == list(enumerate(said[:-1]))
+    plain = ts.of_texts(["12 of 34", "a b", "\u00f6", "\u00f6", "\u00f6", "a - be - c"])
+    assert tx.disguised(plain) == []
+
+
+def test_finds_words_disguised_at_the_end(documents, fitted):
+    model, *_ = fitted
+    said = ["you are an idi0+ and more", "so st*p1d was it", "they said s - t - u - p - i - d to all", "that m0r0n and w0rthl3$$ it is"]
+    assert all(r.toxicity >= 0.5 for r in tx.score(documents(said), model).collect())
+
+
+def test_restoring_is_exact():
+    """The reading found is the likeliest of all, however many there are."""
+    import itertools
+
+    model = tx.CharacterModel(np.random.default_rng(3).integers(0, 9, tx.SYMBOLS**3) ** 6)
+
+    def cost(out):
+        state, total = (0, 0), 0.0
+        for text, price in out:
+            total -= price
+            for c in text:
+                k = 0 if c == " " else tx.code_of(c)
+                total += float(model.log[state[0], state[1], k])
+                state = (state[1], k) if k else (0, 0)
+        return total + float(model.log[state[0], state[1], 0])
+
+    for place in ("x***", "*1*", "**|*", "1*+*a", "****q", "x***z", "***b"):
+        best = max(itertools.product(*tx._lattice(place)), key=cost)
+        assert model.restore(place) == "".join(t for t, _ in best)
+
+
 def test_texts_do_not_touch(odd_texts):
     """What a text gives does not depend on its neighbours in the chunk."""
     texts = [*odd_texts, "3", "ab", "aa", "a", "$", "x", "t 1", "diot", "i d", "i o"]
