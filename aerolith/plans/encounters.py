@@ -199,6 +199,13 @@ def zone_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return airspace.vertical(df, A).select("seq", "zone.zone_id", "vertical", base.r3("altitude_ft").alias("altitude_ft"), F.col("preferred_source").alias("preferred")).where("zone_id <> 'M-4'")
 
 
+@query(f"WITH {VERTICAL} SELECT seq, zone_id, vertical, {r3('altitude_ft')} AS altitude_ft, preferred FROM ver")
+def zone_vertical_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every zone, also the one whose ceiling is a flight level."""
+    df = airspace.candidates(_states(spark, sf_dir), airspace.prepared(base.zones(spark), A), A).where("zone is not null")
+    return airspace.vertical(df, A).select("seq", "zone.zone_id", "vertical", base.r3("altitude_ft").alias("altitude_ft"), F.col("preferred_source").alias("preferred"))
+
+
 @query(f"WITH {OBS}, z(zone_id) AS (VALUES ('P-1'), ('R-2'), ('T-3'), ('M-4'), ('W-5')) SELECT zone_id, {_ACT.replace('ts', 'observed_at')} AS activation, count(*) AS reports FROM obs, z GROUP BY 1, 2")
 def zone_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     # five zones against all reports: the zones are an array of the row, not a join
