@@ -1,30 +1,46 @@
-"""Row-wise Arrow functions over a DataFrame."""
+"""Row-wise Arrow functions over a DataFrame, and names that do not clash."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Each name, with underscores added until none of ``taken`` has it in any case."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable], keep: list[str], fields: list[T.StructField]) -> DataFrame:
-    """``keep`` columns of ``df`` plus ``fields``.
+    """``keep`` columns of ``df`` plus ``fields``; a kept column that has the name of a field, in any case, is replaced by it.
 
     ``make()`` runs once a task and returns a function from a RecordBatch to one
     array per field, aligned with the batch's rows.
     """
-    if clash := {k.lower() for k in keep} & {f.name.lower() for f in fields}:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    new = {f.name.lower() for f in fields}
+    keep = [k for k in keep if k.lower() not in new]
+    at = [df.columns.index(k) for k in keep]
     names = [*keep, *(f.name for f in fields)]
 
     def run(batches):
         f = make()
         for batch in batches:
             if batch.num_rows:
-                own = [batch.column(batch.schema.get_field_index(k)) for k in keep]
-                yield pa.RecordBatch.from_arrays([*own, *f(batch)], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in at), *f(batch)], names=names)
 
-    by_name = {f.name: f for f in df.schema}
-    return df.mapInArrow(run, T.StructType([by_name[k] for k in keep] + fields))
+    return df.mapInArrow(run, T.StructType([df.schema[k] for k in at] + fields))

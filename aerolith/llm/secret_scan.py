@@ -9,7 +9,15 @@ most about ``SAMPLE`` texts, chosen by a hash of the text (the documented
 bound).  Added spans never overlap base spans.
 
 Positions are code points, found by laying the pieces between matches and the
-matches end to end.  A null text counts as an empty one and has no span.
+matches end to end.  Running sums and overlaps go by blocks of ``BLOCK`` spans, and
+texts are cut by pieces of ``PIECE`` characters, so a very long text, run of
+characters or list of spans takes time nearly in proportion to its length.
+
+A null text counts as an empty one and has no span.  Repeated rows are scanned each
+time and alike; an empty table has an empty result and the models of the random
+strings alone.  Spans that start together are ordered by kind.  ``scan`` replaces
+columns named ``spans`` or ``base_spans``; ``redact`` keeps all columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.llm.arrowmap import fresh, quoted
+
 SAMPLE = 2_000
 RANDOM_STRINGS = 4_000
 #: weight, in pairs, of the characters' own frequencies in the models
@@ -37,18 +47,45 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ["assign", "access", "hex", "random"]
 MASK = "<SECRET>"
 
+#: spans that are added up one by one; above that, block by block
+BLOCK = 128
+#: code points of the pieces that a text is cut by
+PIECE = 4096
+
 _NONE = "cast(array() as array<struct<start:int,kind:int,stop:int,text:string>>)"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for a value that is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _blocks(array: str) -> str:
+    """SQL: a non-empty array in blocks."""
+    return f"transform(sequence(0, (size({array}) - 1) div {BLOCK}), bi -> slice({array}, bi * {BLOCK} + 1, {BLOCK}))"
+
+
+def _before(array: str, most: bool = False) -> str:
+    """SQL: for each number of a non-empty array the sum (or the greatest, 0 at least) of those before it."""
+    whole = (lambda x: f"coalesce(array_max({x}), 0)") if most else (lambda x: f"aggregate({x}, 0, (st, sv) -> st + sv)")
+    both = (lambda x, y: f"greatest({x}, {y})") if most else (lambda x, y: f"{x} + {y}")
+    inner = f"transform(sequence(0, size(bx) - 1), wi -> {both('bs', whole('slice(bx, 1, wi)'))})"
+    starts = f"transform(sequence(0, size(bl) - 1), ti -> {whole('slice(tops, 1, ti)')})"
+    return _let(_blocks(array), "bl", _let(f"transform(bl, tx -> {whole('tx')})", "tops", f"flatten(zip_with(bl, {starts}, (bx, bs) -> {inner}))"))
+
+
 def _located(text: str, found: str, pattern: str, kind: int) -> str:
     """SQL: spans of the matches ``found`` of ``pattern`` in ``text``."""
-    return f"""
-    case when size({found}) = 0 then {_NONE} else aggregate(
-      zip_with(slice(split({text}, {_sql(pattern)}, -1), 1, size({found})), {found}, (a, b) -> struct(length(a) as gap, b as text)),
-      struct(0 as at, {_NONE} as out),
-      (s, x) -> struct(s.at + x.gap + length(x.text) as at,
-                       concat(s.out, array(struct(s.at + x.gap as start, {kind} as kind, s.at + x.gap + length(x.text) as stop, x.text as text))) as out),
-      s -> s.out) end"""
+    cut = f"zip_with(slice(split({text}, {_sql(pattern)}, -1), 1, size({found})), {found}, (ca, cb) -> struct(length(ca) as gap, length(cb) as wide, cb as text))"
+    span = f"struct(lp + lc.gap as start, {kind} as kind, lp + lc.gap + lc.wide as stop, lc.text as text)"
+    return f"case when size({found}) = 0 then {_NONE} else " + _let(cut, "cs", _let("transform(cs, wx -> wx.gap + wx.wide)", "ws", f"zip_with(cs, {_before('ws')}, (lc, lp) -> {span})")) + " end"
+
+
+def _apart(added: str, base: str) -> str:
+    """SQL: the ``added`` spans that overlap none of ``base``, which is in order of start."""
+    block = "struct(get(ob, 0).start as lo, array_max(transform(ob, oy -> oy.stop)) as hi, ob as own)"
+    hit = "exists(os, oo -> oo.lo < oa.stop and oa.start < oo.hi and exists(oo.own, oz -> oz.start < oa.stop and oa.start < oz.stop))"
+    return f"case when size({base}) = 0 then {added} else " + _let(f"transform({_blocks(base)}, ob -> {block})", "os", f"filter({added}, oa -> not {hit})") + " end"
 
 
 def _sql(pattern: str) -> str:
@@ -60,27 +97,27 @@ def _sql(pattern: str) -> str:
 _ASSIGN = ASSIGN.replace("[\"']", r"[\x22\x27]")
 
 
-def with_matches(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``_text`` and the matches of each pattern; a cheap test of the letters goes before the dear pattern."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_text", text)
-    some = "(contains(lower(_text), 'pass') or contains(lower(_text), 'secret') or contains(lower(_text), 'token') or contains(lower(_text), 'api'))"
+_TEXT, _MATCHES, _BASE, _RANDOM, _ADDED = "_ss_text", ["_ss_assign", "_ss_access", "_ss_hex", "_ss_key"], "_ss_base", "_ss_random", "_ss_added"
+
+
+def _with_base(docs: DataFrame, text: Column) -> DataFrame:
+    """Adds the text, the matches of each pattern and the base spans; a cheap test of the letters goes before the dear pattern."""
+    df = docs.withColumn(_TEXT, F.coalesce(text, F.lit("")))
+    some = " or ".join(f"contains(lower({_TEXT}), '{word}')" for word in ("pass", "secret", "token", "api"))
     empty = "cast(array() as array<string>)"
-    return df.withColumns(
+    assign, access, hex_, key = _MATCHES
+    df = df.withColumns(
         {
-            "_assign": F.expr(f"case when {some} then regexp_extract_all(_text, {_sql(_ASSIGN)}, 0) else {empty} end"),
-            "_access": F.expr(f"case when contains(_text, 'AKIA') then regexp_extract_all(_text, {_sql(ACCESS)}, 0) else {empty} end"),
-            "_hex": F.expr(f"regexp_extract_all(_text, {_sql(HEX)}, 0)"),
-            "_key": F.expr(f"regexp_extract_all(_text, {_sql(KEY)}, 0)"),
+            assign: F.expr(f"case when {some} then regexp_extract_all({_TEXT}, {_sql(_ASSIGN)}, 0) else {empty} end"),
+            access: F.expr(f"case when contains({_TEXT}, 'AKIA') then regexp_extract_all({_TEXT}, {_sql(ACCESS)}, 0) else {empty} end"),
+            hex_: F.expr(f"regexp_extract_all({_TEXT}, {_sql(HEX)}, 0)"),
+            key: F.expr(f"regexp_extract_all({_TEXT}, {_sql(KEY)}, 0)"),
         }
     )
-
-
-def _base(df: DataFrame) -> DataFrame:
-    parts = [_located("_text", "_assign", _ASSIGN, 0), _located("_text", "_access", ACCESS, 1), _located("_text", "_hex", HEX, 2)]
+    parts = [_located(_TEXT, name, pattern, k) for k, (name, pattern) in enumerate([(assign, _ASSIGN), (access, ACCESS), (hex_, HEX)])]
     # a value of fewer than 6 characters is no secret
-    value = f"length(regexp_extract(x.text, {_sql(_ASSIGN)}, 2))"
-    return df.withColumn("_base", F.expr(f"array_sort(concat(filter({parts[0]}, x -> {value} >= 6), {parts[1]}, {parts[2]}))"))
+    value = f"length(regexp_extract(fx.text, {_sql(_ASSIGN)}, 2))"
+    return df.withColumn(_BASE, F.expr(f"array_sort(concat(filter({parts[0]}, fx -> {value} >= 6), {parts[1]}, {parts[2]}))"))
 
 
 # --- Markov models
@@ -88,9 +125,9 @@ def _base(df: DataFrame) -> DataFrame:
 
 def _bigrams(strings: DataFrame) -> DataFrame:
     """strings: s, label -> counts of bigrams by label."""
-    at = F.explode(F.sequence(F.lit(1), F.length("s") - 1))
-    pairs = strings.where(F.length("s") >= 2).select("label", "s", at.alias("i")).select("label", F.substring("s", F.col("i"), F.lit(2)).alias("pair"))
-    return pairs.groupBy("label", "pair").count()
+    letters = F.split("s", "")
+    pairs = F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.length("s") - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    return strings.where(F.length("s") >= 2).select("label", F.explode(pairs).alias("pair")).where("pair is not null").groupBy("label", "pair").count()
 
 
 def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
@@ -103,9 +140,10 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
     )
 
 
-def ordinary_strings(docs: DataFrame, text_col: str, most: int = SAMPLE) -> DataFrame:
+def ordinary_strings(docs: DataFrame, text_col: str, id_col: str, most: int = SAMPLE) -> DataFrame:
+    """Runs of key characters outside base spans; the sample goes by id and text, so copies do not come all or none."""
     n = docs.count()
-    key = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1_000_000))
+    key = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000))
     sample = docs.where(key < max(1, int(1_000_000 * min(1.0, most / max(n, 1))))) if n > most else docs
     rest = F.coalesce(F.col(text_col), F.lit(""))
     for p in (_ASSIGN, ACCESS, HEX):
@@ -130,30 +168,35 @@ def ratio_table(strings: DataFrame) -> list[float]:
     return [r - o for o, r in zip(*logs, strict=True)]
 
 
-def learn(docs: DataFrame, *, text_col: str = "text", most: int = SAMPLE) -> list[float]:
-    return ratio_table(ordinary_strings(docs, text_col, most).unionByName(random_strings(docs.sparkSession)))
+def learn(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", most: int = SAMPLE) -> list[float]:
+    return ratio_table(ordinary_strings(docs, text_col, id_col, most).unionByName(random_strings(docs.sparkSession)))
 
 
-def _randomness(s: str, table: list[float]) -> str:
-    """SQL: mean log-likelihood ratio of a string of key characters."""
+def _random(s: str, table: list[float], least: float) -> str:
+    """SQL: whether the mean log-likelihood ratio of a string of key characters, and their number, suffice."""
     n = len(ALPHABET)
     values = ",".join(f"{x:.4f}" for x in table)
-    return f"""aggregate(sequence(1, length({s}) - 1), 0D, (t, i) -> t + get(cast(split('{values}', ',') as array<double>),
-        (instr('{ALPHABET}', substr({s}, i, 1)) - 1) * {n} + instr('{ALPHABET}', substr({s}, i + 1, 1)) - 1)) / (length({s}) - 1)"""
+    ratio = f"get(cast(split('{values}', ',') as array<double>), (ra - 1) * {n} + rb - 1)"
+    total = f"aggregate(zip_with(rc, slice(rc, 2, size(rc) - 1), (ra, rb) -> {ratio}), 0D, (rt, rx) -> rt + coalesce(rx, 0D))"
+    codes = f"transform(split({s}, ''), rl -> instr('{ALPHABET}', rl))"
+    return _let(codes, "rc", f"size(array_distinct(rc)) >= {DISTINCT} and {total} / (size(rc) - 1) >= {least}")
 
 
 # --- scan
 
 
-def scan(docs: DataFrame, table: list[float], *, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """Adds ``base_spans`` and ``spans``: arrays of start, kind (place in KINDS), stop, text, by start and kind."""
-    df = _base(with_matches(docs, text_col))
-    # only runs that look random are located, and only where there are any
-    df = df.withColumn("_odd", F.expr(f"filter(_key, s -> size(array_distinct(split(s, ''))) >= {DISTINCT} and {_randomness('s', table)} >= {least})"))
-    where = _located("_text", "_key", KEY, 3)
-    added = f"case when size(_odd) = 0 then {_NONE} else filter({where}, x -> array_contains(_odd, x.text) and not exists(_base, b -> b.start < x.stop and x.start < b.stop)) end"
-    df = df.withColumn("_added", F.expr(added))
-    return df.withColumns({"base_spans": F.col("_base"), "spans": F.array_sort(F.concat("_base", "_added"))}).drop("_text", "_assign", "_access", "_hex", "_key", "_base", "_odd", "_added")
+def scan(docs: DataFrame, table: list[float], *, text_col: str = "text", least: float = LEAST, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
+    """Adds ``base_spans`` and ``spans`` (or other ``names``): arrays of start, kind (place in KINDS), stop, text, by start and kind."""
+    own = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    packed = docs.select(F.struct(*(quoted(c) for c in own)).alias("_ss_row"), quoted(text_col).alias("_ss_given")) if own else docs.select(quoted(text_col).alias("_ss_given"))
+    df = _with_base(packed, F.col("_ss_given"))
+    key = _MATCHES[3]
+    # runs are located only where any looks random
+    df = df.withColumn(_RANDOM, F.expr(f"transform({key}, kx -> {_random('kx', table, least)})"))
+    where = f"filter(zip_with({_located(_TEXT, key, KEY, 3)}, {_RANDOM}, (zx, zr) -> if(zr, zx, null)), zn -> zn is not null)"
+    df = df.withColumn(_ADDED, F.expr(f"case when not exists({_RANDOM}, er -> er) then {_NONE} else {where} end"))
+    df = df.withColumn(_ADDED, F.expr(f"case when size({_ADDED}) = 0 then {_ADDED} else {_apart(_ADDED, _BASE)} end"))
+    return df.select(*(F.col("_ss_row")[c].alias(c) for c in own), F.col(_BASE).alias(names[0]), F.array_sort(F.concat(_BASE, _ADDED)).alias(names[1]))
 
 
 def joined(spans: str) -> Column:
@@ -164,18 +207,26 @@ def joined(spans: str) -> Column:
 
 def redacted(text: str, spans: str = "spans") -> Column:
     """The text with a mask in place of each run of overlapping spans."""
-    return F.expr(f"""aggregate({spans}, struct(0 as at, '' as out),
-        (s, x) -> case when x.stop <= s.at then s when x.start < s.at then struct(x.stop as at, s.out as out)
-                  else struct(x.stop as at, concat(s.out, substr({text}, s.at + 1, x.start - s.at), '{MASK}') as out) end,
-        s -> concat(s.out, substr({text}, s.at + 1)))""")
+
+    def piece(a: str, b: str) -> str:
+        """SQL: code points ``a`` to ``b``."""
+        first, last = f"({a}) div {PIECE}", f"({b} - 1) div {PIECE}"
+        near = f"substr(get(ps, {first}), ({a}) % {PIECE} + 1, {b} - ({a}))"
+        far = f"concat(substr(get(ps, {first}), ({a}) % {PIECE} + 1), array_join(slice(ps, {first} + 2, {last} - {first} - 1), ''), substr(get(ps, {last}), 1, ({b} - 1) % {PIECE} + 1))"
+        return f"case when {a} >= {b} then '' when {first} = {last} then {near} else {far} end"
+
+    each = f"case when mx.start < mp then '' else concat({piece('mp', 'mx.start')}, '{MASK}') end"
+    body = f"concat(array_join(zip_with({spans}, {_before('ms', most=True)}, (mx, mp) -> {each}), ''), {piece('array_max(ms)', f'length({text})')})"
+    cut = f"regexp_extract_all({text}, r'(?s).{{1,{PIECE}}}', 0)"
+    return F.expr(f"case when size({spans}) = 0 then {text} else " + _let(cut, "ps", _let(f"transform({spans}, mz -> mz.stop)", "ms", body)) + " end")
 
 
 def redact(docs: DataFrame, table: list[float], *, text_col: str = "text") -> DataFrame:
     """``docs`` with every secret masked; texts without any stay as they are, null texts stay null."""
-    columns = docs.columns
-    found = scan(docs, table, text_col=text_col)
-    masked = F.when(F.size("spans") > 0, redacted(f"`{text_col}`")).otherwise(F.col(text_col))
-    return found.withColumn(text_col, masked).select(*columns)
+    names = fresh(docs.columns, "_ss_found_base", "_ss_found")
+    found = scan(docs, table, text_col=text_col, names=names)
+    masked = F.when(F.size(names[1]) > 0, redacted(f"`{text_col}`", names[1])).otherwise(quoted(text_col))
+    return found.select(*(masked.alias(c) if c == text_col else quoted(c) for c in docs.columns))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

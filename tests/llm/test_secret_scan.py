@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -52,6 +54,64 @@ def test_redaction(documents, table):
     assert out[10].text == f'é {sc.MASK}"'
 
 
+def test_long_lists_and_runs(documents, table):
+    """More spans than a block holds, runs longer than a piece, and overlaps of each kind, against a plain reading."""
+    rng = random.Random(2)
+    key = lambda n: "".join(rng.choice(sc.ALPHABET[:62]) for _ in range(n))
+    many = " ".join(rng.choice([f"token={key(9)}", "deadbeef0123" * 3, f"AKIA{'Q7' * 9}", "é" * 3, key(30), f"secret:{key(20)}"]) for _ in range(700))
+    texts = [many, key(9_000) + " token=abcdef1 " + "é" * 5_000 + key(20) + ".", "token=" + key(5_000) + " tail"]
+    rows = {r.doc_id: r for r in sc.scan(documents(texts), table).collect()}
+    out = {r.doc_id: r.text for r in sc.redact(documents(texts), table).collect()}
+    for k, t in enumerate(texts):
+        found = [(s.start, s.kind, s.stop) for s in rows[k].spans]
+        assert [(s.start, s.kind, s.stop) for s in rows[k].base_spans] == base(t) == [x for x in found if x[1] < 3]
+        assert all(t[s.start : s.stop] == s.text for s in rows[k].spans)
+        added = [x for x in found if x[1] == 3]
+        runs = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", t)]
+        assert {(a, b) for a, _, b in added} <= {(a, b) for a, b in runs if not any(x < b and a < y for x, _, y in base(t))}
+        plain, at = [], 0
+        for a, _, b in found:
+            if a >= at:
+                plain += [t[at:a], sc.MASK]
+            at = max(at, b)
+        assert out[k] == "".join(plain) + t[at:]
+    assert sum(s.kind == 3 for s in rows[0].spans) > 50 and rows[1].spans[0].stop == 9_000
+
+
+def test_a_megabyte_and_a_hundred_thousand_matches_take_seconds(documents, table):
+    rng = random.Random(3)
+    blob = "".join(rng.choice(sc.ALPHABET[:62]) for _ in range(1_000_000))
+    texts = [blob, "token=abcdef1 " * 100_000]
+    begin = time.monotonic()
+    rows = sc.redact(documents(texts), table).orderBy("doc_id").collect()
+    assert time.monotonic() - begin < 60
+    assert rows[0].text == sc.MASK and rows[1].text == (sc.MASK + " ") * 100_000
+    assert sc.learn(documents(texts))  # samples of such texts
+
+
+def test_added_spans_on_labelled_samples(documents, table):
+    """Held out: random strings of several alphabets, and identifiers and addresses made of words."""
+    rng = random.Random(11)
+    sets = ["0123456789ABCDEF", sc.ALPHABET[:62], sc.ALPHABET[:64]]
+    secret = ["".join(rng.choice(sets[k % 3]) for _ in range(rng.randint(20, 48))) for k in range(300)]
+    words = ["user", "table", "international", "column", "update", "identifier", "responsible", "organisation", "brown", "communicate", "number"]
+    plain = [rng.choice("-_/").join(rng.choice(words) for _ in range(rng.randint(3, 5))) + rng.choice(["", str(rng.randint(1, 2030))]) for _ in range(300)]
+    plain = [w for w in plain if len(w) >= 16]
+    found = {r.doc_id: any(s.kind == 3 for s in r.spans) for r in sc.scan(documents(secret + plain), table).collect()}
+    caught, wrong = sum(found[k] for k in range(len(secret))), sum(found[k + len(secret)] for k in range(len(plain)))
+    assert caught >= 0.9 * len(secret) and wrong <= 0.02 * len(plain), (caught, wrong, len(plain))
+
+
+def test_columns_of_any_name(documents, table):
+    docs = documents(["token=abcdef1", None]).selectExpr("*", "1 as spans", "2 as _text", "3 as _ss_text", "4 as base_spans", "5 as `a.b`", "6 as _ss_found", "7 as Spans_")
+    out = sc.redact(docs, table)
+    assert out.columns == docs.columns and sorted(tuple(r)[5:] for r in out.collect()) == [(1, 2, 3, 4, 5, 6, 7)] * 2
+    assert out.where("doc_id = 0").first().text == sc.MASK
+    found = sc.scan(docs, table)
+    assert found.columns == [*[c for c in docs.columns if c not in ("spans", "base_spans")], "base_spans", "spans"]
+    assert found.where("doc_id = 0").first().spans[0].text == "token=abcdef1"
+
+
 def test_empty(documents, table):
     docs = documents(["a"]).limit(0)
     assert sc.scan(docs, sc.learn(docs)).count() == 0
