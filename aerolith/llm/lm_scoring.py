@@ -5,19 +5,27 @@ commonest words, and the static part of the model's open classes.  The ``SURE``
 commonest tokens and their counts are broadcast (a fixed bound); the counts of
 all others come by a shuffle join on the token's hash, pre-aggregated by text.
 
-The recurrent model (``recurrent.py``) is trained where the data are: in each of
-``ROUNDS`` rounds every task trains a copy on its part of the training texts, and
-the copies are averaged by tokens in a tree.  The rounds divide the texts by the
-hash of their id: each is learnt from once (``SHARE`` is 1; a larger one would
-leave the others out).  A text is scored to its end: the state is carried over
-all its tokens.
+Every text becomes a row of token numbers, written once: training and scoring read
+those.  The recurrent model (``recurrent.py``) is trained on all training texts,
+each learnt from once: the hash of id and text deals them to ``ROUNDS`` rounds and,
+within a round, to shards of about ``SHARD_TOKENS`` tokens, however the table is
+split into tasks.  Every shard trains a copy of the round's weights, and copies are
+averaged by tokens in a tree, in order of shard: the weights can be reproduced, and
+scores but for the rounding of single precision.  A text is scored to its end: the state is carried over all its tokens.
 
 A null text is an empty one: its only token is the end.  Rows with a null id are
-scored and count as training rows by the remainder of the empty id.
+scored and count as training rows by the remainder of the empty id.  Repeated rows
+are learnt from and scored each time, and score alike; ties in order do not occur.
+A very long text is one sequence of any length.  Without training texts the model
+keeps its first weights; an empty table has an empty result.  The result has its
+own columns only, so other columns of ``docs`` may have any names.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +34,18 @@ from pyspark.sql import types as T
 
 from aerolith.llm import recurrent as rn
 from aerolith.llm import textscan as ts
-from aerolith.llm.ngram_join import _sum_arrays
+from aerolith.llm.ngram_join import _FAN
 from aerolith.llm.scratch import stored
 from aerolith.llm.toxicity import remainder
 
 SURE = 1 << 19
 ROUNDS = 2
-SHARE = 1
+SHARD_TOKENS = 1_000_000
+#: most partitions that shards are dealt to; a task takes several beyond it
+MOST_PARTS = 8192
+#: tokens that are laid in lanes at once, and that are scored at once
+BLOCK_TOKENS = 500_000
+SCORE_TOKENS = 4_000_000
 BATCH_BYTES = 12 << 20
 END = np.uint64(0x1D8AF066D1F3C9A5)
 
@@ -124,49 +137,43 @@ class Scorer:
         number = np.where(number >= 0, number, self.shape.head + kind)
         return np.repeat(np.arange(chunk.rows), per), h, at, number, last
 
-    def documents(self, chunk: ts.Chunk) -> list[np.ndarray]:
-        _, _, _, number, last = self.tokens(chunk)
-        return np.split(number.astype(np.int32), last[:-1] + 1)
-
 
 _OUT = T.StructType(
     [
         T.StructField("row", T.LongType()),
         T.StructField("doc_id", T.LongType()),
         T.StructField("held_out", T.BooleanType()),
+        T.StructField("place", T.LongType()),
         T.StructField("n_tokens", T.LongType()),
         T.StructField("known", T.LongType()),
         T.StructField("base", T.DoubleType()),
-        T.StructField("model", T.DoubleType()),
+        T.StructField("static", T.DoubleType()),
+        T.StructField("numbers", T.BinaryType()),
         T.StructField("rest", T.ArrayType(T.LongType())),
         T.StructField("times", T.ArrayType(T.IntegerType())),
     ]
 )
 
 
-def _score_batches(shared, weights):
+def _numbered(shared):
+    """Rows of ``_OUT`` without the model: counts, base and static parts, unknown tokens, and the numbers of all tokens."""
+
     def run(batches):
         scorer: Scorer = shared.value
-        flat = weights.value
         for batch in batches:
-            column = batch.column(3)
-            waiting: list[np.ndarray] = []
-            static, cols, size, first = [], [], 0, 0
+            cols, size, first = [], 0, 0
 
             def flush(first, rows):
-                model = rn.log_probability(scorer.shape, flat, waiting) / np.log(10) + np.concatenate(static)
                 part = [pa.concat_arrays(c) for c in zip(*cols, strict=True)]
-                own = [batch.column(k).slice(first, rows) for k in range(3)]
-                return pa.RecordBatch.from_arrays([*own, part[0], part[1], part[2], pa.array(model), part[3], part[4]], names=_OUT.names)
+                own = [batch.column(k).slice(first, rows) for k in range(4)]
+                return pa.RecordBatch.from_arrays([*own, *part], names=_OUT.names)
 
-            for chunk in ts.chunks(column):
+            for chunk in ts.chunks(batch.column(4)):
                 rows, h, at, number, last = scorer.tokens(chunk)
-                waiting += np.split(number.astype(np.int32), last[:-1] + 1)
                 found = at >= 0
                 log = np.where(found, np.log10(scorer.counts.n[np.maximum(at, 0)] + 0.5), 0.0) if len(scorer.counts.n) else np.zeros(len(at))
                 open_ = number >= scorer.shape.head
                 still = np.where(open_, log - scorer.tail[np.maximum(number - scorer.shape.head, 0)], 0.0)
-                static.append(np.bincount(rows, still, minlength=chunk.rows))
                 rest = np.flatnonzero(~found)
                 order = rest[np.lexsort((h[rest], rows[rest]))]
                 new = np.ones(len(order), dtype=bool)
@@ -175,11 +182,14 @@ def _score_batches(shared, weights):
                 times = np.diff(np.append(begin, len(order)))
                 offsets = np.zeros(chunk.rows + 1, dtype=np.int32)
                 np.cumsum(np.bincount(rows[order][begin], minlength=chunk.rows), out=offsets[1:])
+                ends = np.concatenate([[0], 2 * (last + 1)]).astype(np.int32)
                 cols.append(
                     [
                         pa.array(np.bincount(rows, minlength=chunk.rows), pa.int64()),
                         pa.array(np.bincount(rows, found, minlength=chunk.rows).astype(np.int64)),
                         pa.array(np.bincount(rows, log - scorer.base, minlength=chunk.rows)),
+                        pa.array(np.bincount(rows, still, minlength=chunk.rows)),
+                        pa.Array.from_buffers(pa.binary(), chunk.rows, [None, pa.py_buffer(ends), pa.py_buffer(number.astype("<u2"))]),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[order][begin].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(times, pa.int32())),
                     ]
@@ -187,36 +197,103 @@ def _score_batches(shared, weights):
                 size += len(chunk.data)
                 if size >= BATCH_BYTES:
                     yield flush(first, chunk.first + chunk.rows - first)
-                    first, size = chunk.first + chunk.rows, 0
-                    waiting, static, cols = [], [], []
+                    first, size, cols = chunk.first + chunk.rows, 0, []
             if cols:
                 yield flush(first, batch.num_rows - first)
 
     return run
 
 
-def _trained(docs: DataFrame, shared, flat: np.ndarray, share: int, rounds: int) -> np.ndarray:
-    """Weights after rounds of training on every task's share, averaged by tokens."""
-    spark = docs.sparkSession
-    for k in range(rounds):
-        start = spark.sparkContext.broadcast(flat)
-        own = docs.where(F.pmod(F.xxhash64("key"), F.lit(share * rounds)) == k).select("text") if share * rounds > 1 else docs.select("text")
+def _documents(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Blocks of about ``SCORE_TOKENS`` tokens: the first row and the numbers of each row."""
+    rows, first, held = [], 0, 0
+    for k, x in enumerate(column):
+        rows.append(np.frombuffer(x.as_buffer(), dtype="<u2"))
+        held += len(rows[-1])
+        if held >= SCORE_TOKENS:
+            yield first, rows
+            rows, first, held = [], k + 1, 0
+    if rows:
+        yield first, rows
+
+
+def _modelled(shape: rn.Shape, weights):
+    """Adds the model's log10 probability of the numbers in the last column, in its place."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_columns - 1
+            for first, rows in _documents(batch.column(n)):
+                model = rn.log_probability(shape, weights.value, rows) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(rows)) for k in range(n)), pa.array(model)], names=[*batch.schema.names[:n], "model"])
+
+    return run
+
+
+def _packed(total: np.ndarray) -> bytes:
+    return zlib.compress(total.tobytes(), 1)
 
-        def make(start=start):
-            scorer: Scorer = shared.value
-            total = np.zeros(len(start.value) + 1)
-            trainer = rn.Trainer(scorer.shape, start.value)
 
-            def add(batch):
-                for chunk in ts.chunks(batch.column(0)):
-                    trainer.lanes(scorer.documents(chunk))
-                total[:-1], total[-1] = trainer.flat * float(trainer.tokens), trainer.tokens
+def _unpacked(v: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(v), dtype=np.float64)
 
-            return add, total
 
-        summed = _sum_arrays(own, make, len(flat) + 1, np.float64)
-        if summed[-1] > 0:
-            flat = (summed[:-1] / summed[-1]).astype(np.float32)
+def _learnt(shape: rn.Shape, start):
+    """Over rows sorted by shard: weights times tokens, and tokens, of the copy that each shard trains."""
+
+    def run(batches):
+        now, trainer, waiting, held = None, None, [], 0
+
+        def learn():
+            trainer.lanes(waiting)
+            waiting.clear()
+
+        def done():
+            learn()
+            total = np.append(trainer.flat.astype(np.float64) * trainer.tokens, trainer.tokens)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([_packed(total)], pa.binary())], names=["shard", "v"])
+
+        for batch in batches:
+            for shard, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != now:
+                    if now is not None:
+                        yield done()
+                    now, trainer, held = shard, rn.Trainer(shape, start.value), 0
+                waiting.append(np.frombuffer(x.as_buffer(), dtype="<u2").astype(np.int32))
+                held += len(waiting[-1])
+                if held >= BLOCK_TOKENS:
+                    learn()
+                    held = 0
+        if now is not None:
+            yield done()
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Sum of arrays, in order of shard."""
+    table = table.sort_by("child")
+    total = sum(_unpacked(x.as_py()) for x in table.column("v"))
+    return pa.table({"shard": table.column("shard").slice(0, 1).cast(pa.int64()), "v": pa.array([_packed(total)], pa.binary())})
+
+
+def _trained(told: DataFrame, shape: rn.Shape, flat: np.ndarray, tokens: int, rounds: int, shard_tokens: int) -> np.ndarray:
+    """Weights after rounds of training.  ``told``: place (a hash), numbers."""
+    spark = told.sparkSession
+    shards = max(1, -(-tokens // (rounds * shard_tokens)))
+    parts = min(shards, MOST_PARTS)
+    for k in range(rounds):
+        start = spark.sparkContext.broadcast(flat)
+        own = told.where(F.pmod("place", F.lit(rounds)) == k).select(F.pmod(F.shiftright("place", 8), F.lit(shards)).alias("shard"), "numbers", "place")
+        own = own.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "place", "numbers").select("shard", "numbers")
+        found, n = own.mapInArrow(_learnt(shape, start), "shard long, v binary"), shards
+        while n > _FAN:
+            n = -(-n // _FAN)
+            found = found.select(F.floor(F.col("shard") / _FAN).alias("shard"), F.col("shard").alias("child"), "v").groupBy("shard").applyInArrow(_added, "shard long, v binary")
+        last = sorted(found.collect())  # at most _FAN arrays
+        total = sum(_unpacked(v) for _, v in last)
+        if last and total[-1] > 0:
+            flat = (total[:-1] / total[-1]).astype(np.float32)
         start.unpersist()
     return flat
 
@@ -233,7 +310,7 @@ def _least_count(counts: DataFrame, sure: int) -> int:
     return least
 
 
-def score_documents(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, rounds: int = ROUNDS, sure: int = SURE) -> DataFrame:
+def score_documents(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, sure: int = SURE, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out (not ``training``), n_tokens, n_known, train_tokens, base_score, score (log10) for every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~training).alias("held_out"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"))
@@ -257,21 +334,24 @@ def score_documents(docs: DataFrame, training, *, id_col: str = "doc_id", text_c
     number[known.find(token[: shape.head])] = np.arange(len(token[: shape.head]))
     shared = spark.sparkContext.broadcast(Scorer(known, int(total), int(distinct), mass, shape, number))
     flat = rn.initial(shape, np.pad(n[: shape.head], (0, shape.head - len(n[: shape.head]))), mass)
-    flat = _trained(taught, shared, flat, share, rounds)
+    place = F.xxhash64("key", "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", place.alias("place"), "text")
+    tokens = stored(rows.mapInArrow(_numbered(shared), _OUT), "tokens")
+    flat = _trained(tokens.where(~F.col("held_out")).select("place", "numbers"), shape, flat, int(total), rounds, shard_tokens)
     weights = spark.sparkContext.broadcast(flat)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    scored = stored(rows.mapInArrow(_score_batches(shared, weights), _OUT), "scored")
-    rest = scored.where(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("token"), F.col("x.times").alias("times"))
+    narrow = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "static"]
+    scored = tokens.select(*narrow, "numbers").mapInArrow(_modelled(shape, weights), T.StructType([*(_OUT[c] for c in narrow), T.StructField("model", T.DoubleType())]))
+    rest = tokens.where(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("token"), F.col("x.times").alias("times"))
     rest = rest.join(counts.select("token", "n"), "token", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
     more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rest", "times").join(rest, "row", "left").select(
+    return scored.join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (F.col("model") + F.col("static") + more).alias("score"),
     )
 
 

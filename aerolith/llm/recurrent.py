@@ -23,7 +23,7 @@ HEAD = 1024
 CLASS = 32
 TAIL = 64
 WINDOW = 16
-LANES = 48
+LANES = 256
 
 
 @dataclass
@@ -80,17 +80,33 @@ def initial(shape: Shape, head_counts: np.ndarray, tail_mass: np.ndarray) -> np.
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def _step(p: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray):
     n = HIDDEN
     x, u = p["enter"][ids], h @ p["state"]
-    gates = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
+    gates = x[:, : 2 * n] + u[:, : 2 * n]
+    # the logistic function by way of tanh
+    gates *= 0.5
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
     z, r = gates[:, :n], gates[:, n:]
-    new = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-    return new + z * (h - new), z, r, new, u
+    new = r * u[:, 2 * n :]
+    new += x[:, 2 * n :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= z
+    out += new
+    return out, z, r, new, u
+
+
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(x - shift), its sums by row, and the shift: none while all values are small, else each row's greatest."""
+    shift = 0.0
+    if x.size and (x.max() > 60 or x.min() < -60):
+        shift = x.max(axis=1)
+        x = x - shift[:, None]
+    e = np.exp(x)
+    return e, e @ np.ones(e.shape[1], dtype=e.dtype), shift
 
 
 def log_probability(shape: Shape, flat: np.ndarray, documents: list[np.ndarray], block: int = 8192) -> np.ndarray:
@@ -136,14 +152,16 @@ def _token_log(shape: Shape, p: dict[str, np.ndarray], states: np.ndarray, ids:
         h, own = states[at : at + block], ids[at : at + block]
         kind = shape.class_of(own)
         logits = h @ p["to_class"] + p["class_bias"]
-        log = logits[np.arange(len(own)), kind] - np.log(np.exp(logits).sum(axis=1))
+        _, total, shift = _exponentials(logits)
+        log = logits[np.arange(len(own)), kind] - np.log(total) - shift
         common = np.flatnonzero(own < shape.head)
         common = common[np.argsort(kind[common], kind="stable")]
         edge = np.searchsorted(kind[common], np.arange(shape.groups + 1))
         for g in np.flatnonzero(np.diff(edge)):
             i = common[edge[g] : edge[g + 1]]
             inner = h[i] @ to_word[g].T + word_bias[g]
-            log[i] += inner[np.arange(len(i)), own[i] % CLASS] - np.log(np.exp(inner - inner.max(axis=1, keepdims=True)).sum(axis=1)) - inner.max(axis=1)
+            _, total, shift = _exponentials(inner)
+            log[i] += inner[np.arange(len(i)), own[i] % CLASS] - np.log(total) - shift
         out[at : at + block] = log
     return out
 
@@ -151,7 +169,7 @@ def _token_log(shape: Shape, p: dict[str, np.ndarray], states: np.ndarray, ids:
 class Trainer:
     """Adagrad over windows of truncated backpropagation."""
 
-    def __init__(self, shape: Shape, flat: np.ndarray, rate: float = 0.08):
+    def __init__(self, shape: Shape, flat: np.ndarray, rate: float = 0.2):
         self.shape, self.rate = shape, rate
         self.flat = flat.copy()
         self.p = shape.views(self.flat)
@@ -192,18 +210,25 @@ class Trainer:
         g = shape.views(grad)
         states = np.concatenate([k[0] for k in kept])
         back = self._output(states, target.reshape(-1), real.reshape(-1), g).reshape(steps, lanes, n)
-        carry = np.zeros((lanes, n), dtype=np.float32)
-        enters = np.empty((steps, lanes, 3 * n), dtype=np.float32)
+        carry = np.zeros((lanes, n), dtype=back.dtype)
+        enters, throughs = (np.empty((steps, lanes, 3 * n), dtype=back.dtype) for _ in range(2))
+        back_state = np.ascontiguousarray(p["state"].T)
         for t in range(steps - 1, -1, -1):
             d = carry + back[t]
             _, z, r, new, u = kept[t]
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (past[t] - new) * z * (1 - z)
-            d_r = d_new * u[:, 2 * n :] * r * (1 - r)
-            through = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            g["state"] += past[t].T @ through
-            enters[t, :, : 2 * n], enters[t, :, 2 * n :] = through[:, : 2 * n], d_new
-            carry = (d * z + through @ p["state"].T) * ~begins[t][:, None]
+            shut = d - d * z
+            through, own = throughs[t], enters[t]
+            d_new = own[:, 2 * n :]
+            np.multiply(shut, 1 - new * new, out=d_new)
+            np.multiply(shut, (past[t] - new) * z, out=through[:, :n])
+            np.multiply(d_new * u[:, 2 * n :], r - r * r, out=through[:, n : 2 * n])
+            np.multiply(d_new, r, out=through[:, 2 * n :])
+            carry = through @ back_state
+            carry += d * z
+            carry *= ~begins[t][:, None]
+        throughs = throughs.reshape(-1, 3 * n)
+        g["state"] += np.concatenate(past).T @ throughs
+        enters[:, :, : 2 * n] = throughs.reshape(enters.shape)[:, :, : 2 * n]
         ids = before.reshape(-1)
         order = np.argsort(ids, kind="stable")
         rows, first = np.unique(ids[order], return_index=True)
@@ -221,12 +246,11 @@ class Trainer:
         shape, p = self.shape, self.p
         kind = shape.class_of(ids)
         logits = states @ p["to_class"] + p["class_bias"]
-        d = np.exp(logits - logits.max(axis=1, keepdims=True))
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(ids)), kind] -= 1
-        d *= real[:, None]
+        d, total, _ = _exponentials(logits)
+        d *= (real / total)[:, None]
+        d[np.arange(len(ids)), kind] -= real
         g["to_class"] += states.T @ d
-        g["class_bias"] += d.sum(axis=0)
+        g["class_bias"] += np.ones(len(d), dtype=d.dtype) @ d
         back = d @ p["to_class"].T
         to_word, word_bias = p["to_word"].reshape(shape.groups, CLASS, HIDDEN), p["word_bias"].reshape(shape.groups, CLASS)
         g_word, g_bias = g["to_word"].reshape(shape.groups, CLASS, HIDDEN), g["word_bias"].reshape(shape.groups, CLASS)
@@ -236,10 +260,10 @@ class Trainer:
         for k in np.flatnonzero(np.diff(edge)):
             i = common[edge[k] : edge[k + 1]]
             inner = states[i] @ to_word[k].T + word_bias[k]
-            e = np.exp(inner - inner.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
+            e, total, _ = _exponentials(inner)
+            e /= total[:, None]
             e[np.arange(len(i)), ids[i] % CLASS] -= 1
             g_word[k] += e.T @ states[i]
-            g_bias[k] += e.sum(axis=0)
+            g_bias[k] += np.ones(len(e), dtype=e.dtype) @ e
             back[i] += e @ to_word[k]
         return back

@@ -21,7 +21,7 @@ def tokens(t):
 @pytest.mark.parametrize("sure", [lm.SURE, 3])
 def test_base_score(documents, odd_texts, sure):
     texts = odd_texts + [f"the cat sat on mat {k % 7} and the dog {k}" for k in range(60)]
-    rows = lm.score_documents(documents(texts), remainder("doc_id", 5) != 1, share=1, rounds=1, sure=sure).collect()
+    rows = lm.score_documents(documents(texts), remainder("doc_id", 5) != 1, rounds=1, sure=sure).collect()
     counts = collections.Counter()
     for k, t in enumerate(texts):
         if zlib.crc32(str(k).encode()) % 5 != 1:
@@ -38,18 +38,46 @@ def test_base_score(documents, odd_texts, sure):
 def test_learns_from_every_training_text(documents, odd_texts, monkeypatch):
     """As the query calls it: each token of each training text reaches the trainer once."""
     texts = odd_texts + [f"the cat sat on mat {k % 7} and the dog {k}" for k in range(60)]
-    learnt, add_up = [], lm._sum_arrays
+    learnt, unpacked = [], lm._unpacked
 
-    def held(*a):
-        learnt.append(add_up(*a))
+    def held(v):
+        learnt.append(unpacked(v))
         return learnt[-1]
 
-    monkeypatch.setattr(lm, "_sum_arrays", held)
+    monkeypatch.setattr(lm, "_unpacked", held)
     rows = lm.score_documents(documents(texts), remainder("doc_id", 5) != 1).collect()
     assert len(learnt) == lm.ROUNDS and all(x[-1] > 0 for x in learnt)
     assert sum(x[-1] for x in learnt) == rows[0].train_tokens
 
 
+def test_scores_do_not_depend_on_the_split(documents, monkeypatch):
+    """Several shards and sums in a tree; ids null and repeated, rows in other partitions."""
+    texts = [f"one cat {k % 5} sat on mat {k % 7} {'and on ' * (k % 9)}the dog {k}" for k in range(300)] + ["again and again"] * 30
+    ids = [*range(300), *[None] * 15, *[7] * 15]
+    found = []
+    weights, trained = [], lm._trained
+
+    def kept(*a):
+        weights.append(trained(*a))
+        return weights[-1]
+
+    monkeypatch.setattr(lm, "_trained", kept)
+    for parts in (1, 7):
+        docs = documents(texts, ids=ids).repartition(parts, "text")
+        rows = lm.score_documents(docs, remainder("doc_id", 5) != 1, shard_tokens=100).collect()
+        assert len(rows) == len(texts) and rows[0].train_tokens > 100 * lm.ROUNDS * lm._FAN
+        found.append(sorted((r.doc_id or -1, r.n_tokens, r.score) for r in rows))
+    assert (weights[0] == weights[1]).all()
+    assert [x[:2] for x in found[0]] == [x[:2] for x in found[1]]
+    assert [x[2] for x in found[0]] == pytest.approx([x[2] for x in found[1]], rel=1e-5)
+
+
+def test_unseen_texts_score_better_than_by_counts_alone(documents):
+    texts = [" ".join(f"w{(k + j) % 40}" for j in range(60)) for k in range(400)]
+    rows = [r for r in lm.score_documents(documents(texts), remainder("doc_id", 5) != 1).collect() if r.held_out]
+    assert sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
+
+
 def test_empty_table(documents):
     assert lm.score_documents(documents(["a"]).limit(0), remainder("doc_id", 5) != 1).count() == 0
 
