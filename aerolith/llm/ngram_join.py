@@ -14,11 +14,17 @@ Texts become sets of distinct word shingles.  The join is exact:
    contracted to candidate components: each true link lies within one.
 4. Each candidate component is joined exactly.  A set's overlaps with all others
    are derived from those of a highly similar set that were computed before, by
-   visiting the lists of their differing shingles only.  Components of more
-   than ``GROUP`` shingles are cut into blocks, one task for each pair of blocks.
-
-A text without words has an empty set and no link.  Rows with a null id have a
-null component and no link; rows that share an id count as linked.
+   visiting the lists of their differing shingles only.  Components of many sets or
+   of more than ``GROUP`` shingles are dealt to blocks, one task for each pair of
+   blocks; the number of blocks grows with the root of the number of sets, so no
+   task has more than a few hundred times that root.
+
+A text that is null, empty or blank has an empty set and no link; a very long one is
+as good as any.  Rows with a null id have a null component and no link.  Rows that
+share an id are documents of their own: each is linked by its own text, copies are
+linked with each other, and the smallest id of a component names it.  An empty table
+has an empty result.  The result has its own columns only, so other columns of
+``docs`` may have any names.
 """
 
 from __future__ import annotations
@@ -42,7 +48,10 @@ WORDS = 3
 GROUP = 4_000_000
 ORDER_BITS = 17
 SMALL_LIST = 33
-LARGE_LIST = 100_000
+LARGE_LIST = 20_000
+#: most sets of a component that are joined as a whole; beyond, blocks number the root of a share of the sets
+WHOLE_SETS = 128
+BLOCK_SHARE = 40
 BROADCAST_ROWS = 1_000_000
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -180,16 +189,17 @@ class Signatures:
             begin = (np.cumsum(sets.size) - sets.size)[full]
             for k, fp in enumerate(self.fp):
                 fp[full] = np.add.reduceat(ts.mix64(sets.hash + np.uint64(0x5851F42D4C957F2D * (k + 1) & ts._MASK)), begin)
-        # a set near the bound of two levels is indexed at both
-        low, high = _level(sets.size, percent), _level(sets.size * 100 // percent + 1, percent)
+        # a set is indexed at every level that a similar set, as large or larger, can be of
+        low, high = _level(sets.size, percent), _level(sets.size * 100 // percent, percent)
         doc, value, level = sets.doc, sets.hash, low[sets.doc]
-        twice = np.flatnonzero((low != high)[sets.doc])
-        doc, value, level = np.concatenate([doc, doc[twice]]), np.concatenate([value, value[twice]]), np.concatenate([level, high[doc[twice]]])
-        # units are numbered by text, then level, then part
-        per = np.where(sets.size > 0, (1 << low) + np.where(low != high, 1 << high, 0), 0)
+        for k in range(1, int((high - low).max()) + 1 if rows else 0):
+            again = np.flatnonzero((low + k <= high)[sets.doc])
+            doc, value, level = np.concatenate([doc, sets.doc[again]]), np.concatenate([value, sets.hash[again]]), np.concatenate([level, (low + k)[sets.doc[again]]])
+        # units are numbered by text, then level, then part; levels from ``low`` on have 2**low, 2**(low + 1), ... units
+        per = np.where(sets.size > 0, (1 << high + 1) - (1 << low), 0)
         base = np.cumsum(per) - per
         part = (value & np.uint64(0xFFFF)).astype(np.int64) & ((1 << level) - 1)
-        unit = base[doc] + np.where(level != low[doc], 1 << low[doc], 0) + part
+        unit = base[doc] + (1 << level) - (1 << low[doc]) + part
         pre = np.argsort(unit, kind="stable")
         unit, value, level = unit[pre], value[pre], level[pre]
         order = sort_within(unit, value, rank[(value >> np.uint64(64 - ORDER_BITS)).astype(np.int64)])
@@ -608,8 +618,32 @@ def _sets(members: DataFrame, text_col: str, n: int) -> DataFrame:
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_id (smallest id with an equal set), n_links (other documents whose
     sets reach ``percent`` of Jaccard similarity, copies included), component_id (smallest id reachable by links)."""
-    spark = docs.sparkSession
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent {percent}")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if docs.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
+        found = _by_row(docs, n, percent, group)
+    else:
+        found = _similar(docs, n, percent, group)
+    return found.withColumnRenamed("id", id_col)
+
+
+def _by_row(docs: DataFrame, n: int, percent: int, group: int) -> DataFrame:
+    """Of rows that may share ids: joined by number of row, then named by id."""
+    numbered = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = _similar(numbered.select(F.when(F.col("id").isNotNull(), F.col("row")).alias("id"), "text"), n, percent, group)
+    told = stored(found.withColumnRenamed("id", "row").where("row is not null").join(numbered.select("row", "id"), "row"), "told")
+    names = [told.groupBy(F.col(c).alias(f"{c}_row")).agg(F.min("id").alias(c)) for c in ("class_id", "component_id")]
+    out = told.withColumnsRenamed({"class_id": "class_id_row", "component_id": "component_id_row"})
+    for name in names:
+        out = out.join(name, name.columns[0])
+    alone = found.where("id is null")
+    return out.select(*alone.columns).unionByName(alone)
+
+
+def _similar(docs: DataFrame, n: int, percent: int, group: int) -> DataFrame:
+    """``similar_documents`` of id, text, with unique ids or null ones."""
+    spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(shingle_order(docs, "text", n))
     signed = stored(signatures(docs, "id", "text", rank, n, percent), "signatures")
     some = signed.where("n_shingles > 0 and id is not null")
@@ -624,13 +658,14 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # two classes of one fp0 would enter the same component, which is no harm
     named = some.groupBy(*one).agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     members = stored(named.join(found, named["fp0"] == found["node"]).select("class_id", "copies", "n_shingles", "component"), "members")
-    blocks = members.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(group / 2)).cast("int").alias("n")).select("component", F.when(F.col("n") <= 2, 1).otherwise(F.col("n")).alias("n"))
+    blocks = members.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(group / 2)).cast("int").alias("n"), F.count("*").alias("sets"))
+    by_sets = F.when(F.col("sets") > WHOLE_SETS, F.ceil(F.sqrt(F.col("sets") / BLOCK_SHARE)).cast("int")).otherwise(1)
+    blocks = blocks.select("component", F.greatest(F.when(F.col("n") <= 2, 1).otherwise(F.col("n")), by_sets).alias("n"))
     cut = blocks.where("n > 1").limit(1).count() > 0
     members = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("n")).cast("int"))
     small = members.count() <= BROADCAST_ROWS
     side = members.select(F.col("class_id"), "component", "copies", "n", "block")
     told = docs.join(F.broadcast(side) if small else side, docs["id"] == side["class_id"])
-    # a row of another text under the class's id is no harm: rows that share an id count as linked
     hashed = _sets(told.select("component", "n", "block", "class_id", "copies", "text"), "text", n)
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), F.when(j < F.col("block"), 1).otherwise(0).alias("side")))
     dealt = hashed.select("component", F.explode(pairs).alias("p"), "class_id", "copies", "hashes").select("component", "p.i", "p.j", "class_id", "copies", "p.side", "hashes")
@@ -652,7 +687,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         F.coalesce("root", "class_id").alias("component_id"),
     )
     alone = narrow.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return joined.unionByName(alone).withColumnRenamed("id", id_col)
+    return joined.unionByName(alone)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

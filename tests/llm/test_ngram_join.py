@@ -60,7 +60,7 @@ def corpus(seed, n_docs=120):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "n", "percent", "group"), [(1, 3, 90, nj.GROUP), (2, 5, 80, nj.GROUP), (3, 3, 90, 400), (4, 2, 60, 2000)])
+@pytest.mark.parametrize(("seed", "n", "percent", "group"), [(1, 3, 90, nj.GROUP), (2, 5, 80, nj.GROUP), (3, 3, 90, 400), (4, 2, 60, 2000), (5, 3, 50, nj.GROUP), (6, 3, 45, nj.GROUP), (7, 2, 30, 3000)])
 def test_against_brute_force(documents, odd_texts, seed, n, percent, group):
     texts = odd_texts + corpus(seed)
     rows = nj.similar_documents(documents(texts), n=n, percent=percent, group=group).collect()
@@ -75,6 +75,40 @@ def test_null_and_repeated_ids_and_empty_table(documents):
     assert nj.similar_documents(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_linked_by_their_own_texts(documents):
+    a, b, c = ("one two three four five", "six seven eight nine ten", "some other words are told here")
+    rows = [(5, a), (3, a), (5, b), (5, b), (9, c), (None, c)]
+    docs = documents([t for _, t in rows], ids=[i for i, _ in rows])
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.class_id or -1, r.n_links) for r in nj.similar_documents(docs).collect())
+    assert got == [(-1, -1, -1, 0), (3, 3, 3, 1), (5, 3, 3, 1), (5, 5, 5, 1), (5, 5, 5, 1), (9, 9, 9, 0)]
+
+
+def test_far_apart_sizes_below_half(documents):
+    rng = random.Random(3)
+    words = [f"x{k}" for k in range(400)]
+    texts = [" ".join(words[: k + 2]) for k in (63, 64, 100, 128, 129, 200, 257)] + [" ".join(rng.sample(words, 90))]
+    for percent in (30, 45, 50):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in nj.similar_documents(documents(texts), percent=percent).collect()}
+        assert got == dict(enumerate(brute(texts, 3, percent)))
+    with pytest.raises(ValueError):
+        nj.similar_documents(documents(texts), percent=0)
+
+
+def test_components_of_many_sets_are_cut(documents, monkeypatch):
+    """Several blocks of one component, by the number of sets."""
+    monkeypatch.setattr(nj, "WHOLE_SETS", 8)
+    monkeypatch.setattr(nj, "BLOCK_SHARE", 2)
+    rng = random.Random(12)
+    base, texts = [f"b{k}" for k in range(120)], []
+    for _ in range(70):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(9)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in nj.similar_documents(documents(texts), percent=80).collect()}
+    assert got == dict(enumerate(brute(texts, 3, 80)))
+
+
 def test_large_lists_span_all_that_passes(monkeypatch):
     """Lists beyond the limits for comparing pairs stay connected."""
     rng = np.random.default_rng(0)
