@@ -43,4 +43,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], keep: list[str], field
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in at), *f(batch)], names=names)
 
-    return df.mapInArrow(run, T.StructType([df.schema[k] for k in at] + fields))
+    out = T.StructType([df.schema[k] for k in at] + fields)
+    # mapInArrow looks columns up by name, which a dot or a backquote would mislead
+    plain = [fresh(df.columns, f"_column_{k}")[0] if set(".`") & set(c) else c for k, c in enumerate(df.columns)]
+    return df.toDF(*plain).mapInArrow(run, out)

@@ -1,15 +1,20 @@
 """Benchmark decontamination: hash set of normalised test n-grams.
 
 Benchmark items are cut into windows of ``n`` words; hashes of the windows, and
-the words themselves, go to all tasks in blocks of at most ``BLOCK_WORDS`` item
-words (the broadcast's size bound; a larger benchmark takes several passes over
-the rows, each adding to the hits of the one before).  Each text is hashed
-window by window, hits are looked up in the sorted hash set and verified word by
-word, and the words of verified windows are marked.
-
-Nulls and texts without words have no windows: nothing is hit.  An item without
-words is ignored, and a null item id counts as the id ``null``.  Repeated rows
-are judged one by one; repeated items count once per id.
+the words themselves, are broadcast in a block of at most ``BLOCK_WORDS`` item
+words (or one longer item), which bounds what the driver and a task hold.  A larger
+benchmark takes several passes over the rows, one after the other: each block is
+built, broadcast, applied and released, the hits of a pass are written as narrow
+rows, and in the end each row's hits are put together.  Each text is hashed window
+by window, hits are looked up in the sorted hash set and verified word by word, and
+the words of verified windows are marked.
+
+Nulls and texts without words have no windows: nothing is hit.  A very long text is
+scanned whole.  An item without words is ignored, and a null item id counts as the id
+``null``.  Repeated rows are judged one by one; repeated items count once per id; items
+are listed in order of their ids as strings.  Empty tables give no rows, or no hits.
+``scan`` replaces columns that have the names of its own; ``decontaminate`` keeps all
+columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolith.llm import textscan as ts
-from aerolith.llm.arrowmap import map_rows
+from aerolith.llm.arrowmap import fresh, map_rows, quoted
+from aerolith.llm.scratch import stored
 
 N = 13
 BLOCK_WORDS = 500_000
@@ -130,9 +136,9 @@ class Grams:
         return wrong[at + size] == wrong[at]
 
 
-def _merged(one: list[tuple[int, int]], other: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in sorted([*one, *other]):
+    for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
@@ -154,49 +160,67 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
     yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, keep: list[str] | None = None, cut: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
+NAMES = ("n_words", "hit_words", "hit_items", "clean_text")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, keep: list[str] | None = None, cut: bool = False, block_words: int = BLOCK_WORDS, names: tuple[str, ...] = NAMES) -> DataFrame:
     """``keep`` columns (all by default) plus ``n_words``, ``hit_words`` (merged word ranges), ``hit_items`` (sorted)
     and, with ``cut``, ``clean_text``: the text without the bytes from the first to the last word of each range."""
     spark: SparkSession = docs.sparkSession
     keep = list(docs.columns) if keep is None else keep
-    blocks = [spark.sparkContext.broadcast(Grams(b, n)) for b in _blocks(benchmark, item_col, item_text_col, block_words)]
-    df = docs
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-        out = keep if last else list(dict.fromkeys([*keep, text_col]))
-        if last and cut:
-            fields.append(T.StructField("clean_text", T.StringType()))
-        if k:
-            df = df.withColumnsRenamed({"hit_words": "_hit_words", "hit_items": "_hit_items"}).drop("n_words")
-        df = map_rows(df.select(*dict.fromkeys([*out, text_col, *(["_hit_words", "_hit_items"] if k else [])])), _maker(block, text_col, bool(k), last and cut), out, fields)
-    return df
-
-
-def _maker(block, text_col: str, merge: bool, cut: bool):
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    fields = [T.StructField(names[0], T.LongType()), T.StructField(names[1], SPANS), T.StructField(names[2], T.ArrayType(T.StringType()))]
+    if cut:
+        fields.append(T.StructField(names[3], T.StringType()))
+    used = docs.select(*(quoted(c) for c in dict.fromkeys([*keep, text_col])))
+    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return map_rows(used, _maker(text_col, cut, block=spark.sparkContext.broadcast(Grams(first, n))), keep, fields)
+    row, spans, items = fresh([*used.columns, *names], "_row", "_spans", "_items")
+    rows = stored(used.withColumn(row, F.monotonically_increasing_id()), "rows")
+    narrow = [T.StructField(spans, SPANS), T.StructField(items, T.ArrayType(T.StringType()))]
+    found = None
+    for items_of in _chain([first, second], blocks):
+        block = spark.sparkContext.broadcast(Grams(items_of, n))
+        part = map_rows(rows.select(row, quoted(text_col)), _maker(text_col, False, block=block, count=False), [row], narrow).where(F.size(items) > 0)
+        part = stored(part, "hits")
+        block.destroy()
+        found = part if found is None else found.unionByName(part)
+    both = found.groupBy(row).agg(F.flatten(F.collect_list(spans)).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items))
+    return map_rows(rows.join(both, row, "left"), _maker(text_col, cut, had=(spans, items)), keep, fields)
+
+
+def _chain(begin: list, rest: Iterator) -> Iterator:
+    while begin:
+        yield begin.pop(0)
+    yield from rest
+
+
+def _maker(text_col: str, cut: bool, *, block=None, had: tuple[str, str] | None = None, count: bool = True):
+    """Hits of the items of ``block``, or those in the columns ``had`` of earlier passes."""
+    type_ = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def make():
-        grams: Grams = block.value
+        grams: Grams | None = block.value if block else None
 
         def f(batch):
             column = batch.column(batch.schema.get_field_index(text_col))
+            ours = [batch.column(batch.schema.get_field_index(c)) for c in had or ()]
             counts, ranges, items, texts = [], [], [], []
             for chunk in ts.chunks(column):
-                words, found = grams.scan(chunk)
+                words, found = grams.scan(chunk) if grams else (chunk.words(ts.ALNUM), {})
                 counts.append(words.counts())
                 for r in range(chunk.rows):
                     own, names = found.get(r, ((), ()))
-                    if merge:
-                        row = chunk.first + r
-                        had = batch.column(batch.schema.get_field_index("_hit_words"))[row].as_py() or []
-                        own = _merged(list(own), [(x["start"], x["stop"]) for x in had])
-                        names = {*names, *(batch.column(batch.schema.get_field_index("_hit_items"))[row].as_py() or [])}
+                    if had:
+                        own, names = (c[chunk.first + r].as_py() or [] for c in ours)
+                        own = _merged([(x["start"], x["stop"]) for x in own])
                     ranges.append([{"start": a, "stop": b} for a, b in own])
                     items.append(sorted(names))
                     if cut:
                         texts.append(_without(chunk, words, r, own) if column[chunk.first + r].is_valid else None)
-            out = [pa.array(np.concatenate(counts), pa.int64()), pa.array(ranges, spans), pa.array(items, pa.list_(pa.string()))]
+            out = [pa.array(np.concatenate(counts), pa.int64())] if count else []
+            out += [pa.array(ranges, type_), pa.array(items, pa.list_(pa.string()))]
             return [*out, pa.array(texts, pa.string())] if cut else out
 
         return f
@@ -214,24 +238,25 @@ def _without(chunk: ts.Chunk, words: ts.Words, row: int, ranges) -> str:
     return b"".join(out).decode("utf-8", "replace")
 
 
-def n_hit() -> F.Column:
-    return F.aggregate("hit_words", F.lit(0).cast("long"), lambda s, x: s + (x["stop"] - x["start"]))
+def n_hit(spans: str = "hit_words") -> F.Column:
+    return F.aggregate(quoted(spans), F.lit(0).cast("long"), lambda s, x: s + (x["stop"] - x["start"]))
 
 
-def contaminated(least_percent: int = 5) -> F.Column:
+def contaminated(least_percent: int = 5, *, words: str = "n_words", spans: str = "hit_words") -> F.Column:
     """At least that share of the words is in windows of the benchmark."""
-    return (n_hit() > 0) & (n_hit() * 100 >= F.col("n_words") * least_percent)
+    return (n_hit(spans) > 0) & (n_hit(spans) * 100 >= quoted(words) * least_percent)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated documents, or (``remove="spans"``) with all texts cut at verified windows."""
-    columns = docs.columns
+    names = tuple(fresh(docs.columns, *NAMES))
     if remove == "spans":
-        out = scan(docs, benchmark, text_col=text_col, cut=True, **options)
-        return out.select(*[F.col("clean_text").alias(c) if c == text_col else F.col(c) for c in columns])
+        out = scan(docs, benchmark, text_col=text_col, cut=True, names=names, **options)
+        return out.select(*(quoted(names[3]).alias(c) if c == text_col else quoted(c) for c in docs.columns))
     if remove != "documents":
         raise ValueError(remove)
-    return scan(docs, benchmark, text_col=text_col, **options).where(~contaminated()).select(*columns)
+    kept = scan(docs, benchmark, text_col=text_col, names=names, **options).where(~contaminated(words=names[0], spans=names[1]))
+    return kept.select(*(quoted(c) for c in docs.columns))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,17 @@ def test_empty_tables_and_clashing_columns(spark, documents):
     assert dc.scan(docs.limit(0), none).count() == 0
     clash = docs.withColumn("item_id", F.lit(1))
     assert dc.decontaminate(clash, none).columns == clash.columns
+    bench = spark.createDataFrame([(1, "a b c"), (2, "b c"), (3, None)], "item_id long, text string")
+    clash = documents(["a b c", None, "q"], ids=[None, None, 4]).selectExpr("*", "1 as n_words", "2 as hit_words", "3 as Hit_Items", "4 as clean_text", "5 as _row", "6 as `a.b`")
+    for words in (dc.BLOCK_WORDS, 1):
+        for remove, want in (("documents", [None, "q"]), ("spans", ["", None, "q"])):
+            out = dc.decontaminate(clash, bench, remove=remove, block_words=words)
+            rows = out.collect()
+            assert out.columns == clash.columns and sorted((r.text for r in rows), key=str) == sorted(want, key=str)
+            assert {tuple(r)[5:] for r in rows} == {(1, 2, 3, 4, 5, 6)}
+        out = dc.scan(clash, bench, block_words=words)
+        assert out.columns[-3:] == list(dc.NAMES[:3]) and "Hit_Items" not in out.columns
+        assert sorted((r.n_words, r.hit_items) for r in out.collect()) == [(0, []), (1, []), (3, ["1", "2"])]
 
 
 def test_spans_are_cut(spark, documents):
