@@ -10,7 +10,10 @@ text.  All texts of a chunk are decoded side by side, word by word.
 A text that is null or has no letter is ``und`` with score 0.  Words in a script
 that no language uses are decided by their neighbours; if a text has no other
 words, its language is the likeliest overall.  Rows without a label teach
-nothing; if none has one, everything is ``und``.
+nothing; if none has one, everything is ``und``.  Of languages that are equally likely
+the first by name is taken.  Repeated rows, and rows with null ids, are labelled each
+time and alike; a very long text is decoded whole; an empty table has an empty result.
+``identify`` replaces columns that have the names of its own.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolith.llm import textscan as ts
-from aerolith.llm.arrowmap import map_rows
+from aerolith.llm.arrowmap import map_rows, quoted
 from aerolith.llm.toxicity import remainder
 
 GRAM_BITS = 16
@@ -252,7 +255,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
         return f
 
     keep = list(docs.columns) if keep is None else keep
-    return map_rows(docs.select(*dict.fromkeys([*keep, text_col])), make, keep, fields)
+    return map_rows(docs.select(*(quoted(c) for c in dict.fromkeys([*keep, text_col]))), make, keep, fields)
 
 
 def _decide(model: Model, chunk: ts.Chunk):
@@ -262,8 +265,9 @@ def _decide(model: Model, chunk: ts.Chunk):
     letters = np.bincount(rows * n + labels, weights=words.stop - words.start, minlength=chunk.rows * n).reshape(-1, n)
     lang = letters.argmax(axis=1)
     share = letters.max(axis=1) / np.maximum(letters.sum(axis=1), 1)
+    total = total.astype(np.float64)
     own = np.take_along_axis(total, lang[:, None], axis=1)
-    odds = 1 / np.exp(np.clip(total - own, -700, 700)).sum(axis=1)
+    odds = 1 / np.exp(np.clip(total - own, -700, 600)).sum(axis=1)
     score = np.clip(share * np.maximum(odds, 1 / n), 0, 1)
     change = np.ones(len(labels), dtype=bool)
     change[1:] = (labels[1:] != labels[:-1]) | (rows[1:] != rows[:-1])

@@ -12,7 +12,10 @@ The regression learns from at most about ``LABELS`` labelled rows, chosen by a
 hash of their id (its documented bound); the trigram counts cover every text.
 A null text scores as an empty one: the intercept.  Without labels of both
 kinds every score is 0.  If an id has several labels, the highest counts; null
-labels and ids count as none.  Repeated rows are scored alike.
+labels and ids count as none.  Repeated rows are scored alike; of readings that are
+equally likely the first found is taken.  A very long text is scanned whole, and a very
+long place is decoded whole, without a beam.  An empty table has an empty result.
+``score`` replaces a column that has the name of its result.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolith.llm import textscan as ts
-from aerolith.llm.arrowmap import map_rows
+from aerolith.llm.arrowmap import map_rows, quoted
 from aerolith.llm.ngram_join import _sum_arrays
 
 LABELS = 20_000
@@ -449,7 +452,7 @@ def _logistic(row, column, y, width, *, ridge: float = 0.2, steps: int = 400, ra
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
-    """``keep`` columns (all by default) and the score, 0 to 1."""
+    """``keep`` columns (all by default) and the score, 0 to 1, in the column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -462,7 +465,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
         return f
 
     keep = list(docs.columns) if keep is None else keep
-    return map_rows(docs.select(*dict.fromkeys([*keep, text_col])), make, keep, [T.StructField(name, T.DoubleType())])
+    return map_rows(docs.select(*(quoted(c) for c in dict.fromkeys([*keep, text_col]))), make, keep, [T.StructField(name, T.DoubleType())])
 
 
 def remainder(id_col: str, n: int):

@@ -50,3 +50,45 @@ def test_viterbi_against_all_paths():
     for a, b in zip(of, of[1:], strict=False):
         best = max(itertools.product(range(3), repeat=b - a), key=lambda p: sum(scores[a + k, x] for k, x in enumerate(p)) - 2.0 * sum(x != y for x, y in zip(p, p[1:], strict=False)))
         assert tuple(got[a:b]) == best
+
+
+def test_word_scores_against_a_plain_reading(documents):
+    """Each word's score is the sum of the logarithms of its hashed 4-grams' shares, counted by hand."""
+    texts, langs = corpus()
+    model = li.learn(documents(texts, langs))
+
+    def grams(word):
+        raw = bytes(li.ts.LOWER[list(word.encode())].tolist()) + b"\0"
+        for k in range(len(raw)):
+            code = 0
+            for j in range(4):
+                if k >= j:
+                    code |= raw[k - j] << 8 * j
+            code = code * 0x9E3779B1 & 0xFFFFFFFF
+            code = (code ^ code >> 15) * 0x85EBCA77 & 0xFFFFFFFF
+            yield code >> 32 - li.GRAM_BITS
+
+    counts = np.zeros((1 << li.GRAM_BITS, 3))
+    for t, la in zip(texts, langs, strict=True):
+        for w in t.split():
+            for g in grams(w):
+                counts[g, model.languages.index(la)] += 1
+    mean = (counts.sum(axis=1, keepdims=True) + 0.5) / (counts.sum() + 0.5 * len(counts))
+    log = np.log((counts + 50 * mean) / (counts.sum(axis=0) + 50))
+    chunk = li.ts.of_texts(["Which zwischen можно the"])
+    words = chunk.words(li.ts.LETTER)
+    got = model.word_scores(chunk, words)
+    for k, (w, uses) in enumerate(zip("Which zwischen можно the".split(), ([1, 1, 0], [1, 1, 0], [0, 0, 1], [1, 1, 0]), strict=True)):
+        want = sum(log[g] for g in grams(w)) - 50.0 * (1 - np.array(uses))
+        assert np.allclose(got[k], want, atol=1e-3)
+
+
+def test_scores_of_long_texts_and_clashing_columns(documents):
+    texts, langs = corpus()
+    model = li.learn(documents(texts, langs))
+    long = " ".join(texts[0].split() * 400 + texts[1].split() * 350)
+    docs = documents([long, None, "the of"], ids=[None, None, 2]).selectExpr("*", "1 as Score", "2 as lang_pred", "3 as `a.b`")
+    with np.errstate(over="raise"):
+        rows = {r.text: r for r in li.identify(docs, model).collect()}
+    assert rows[long].lang_pred == "en" and 0 < rows[long].score <= 1 and rows[None].lang_pred == "und"
+    assert li.identify(docs, model).columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "lang_pred", "score", "n_spans"]

@@ -105,3 +105,20 @@ def test_texts_do_not_touch(odd_texts):
     assert sorted(np.concatenate([tx._trigrams(c) for c in alone]).tolist()) == sorted(tx._trigrams(together).tolist())
     places = [(k, c.data[a:b].tobytes()) for k, c in enumerate(alone) for _, a, b in tx.disguised(c)]
     assert sorted((r, together.data[a:b].tobytes()) for r, a, b in tx.disguised(together)) == sorted(places)
+
+
+def test_clashing_columns_and_null_ids(spark, documents, fitted):
+    model, *_ = fitted
+    docs = documents(["you idiot", None], ids=[None, None]).selectExpr("*", "1 as Toxicity", "2 as `a.b`", "3 as label")
+    out = tx.score(docs, model)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "label", "toxicity"]
+    assert sorted(r.toxicity >= 0.5 for r in out.collect()) == [False, True]
+    model = tx.learn(docs, spark.createDataFrame([(None, 1), (3, 0)], "doc_id long, toxic int"))
+    assert [r.toxicity for r in tx.score(docs, model).collect()] == [0.0, 0.0]
+
+
+def test_a_very_long_place_is_decoded_whole():
+    rng = np.random.default_rng(1)
+    model = tx.CharacterModel(rng.integers(0, 50, tx.SYMBOLS**3))
+    place = "".join(rng.choice(list("abcdefghij0123456789+/"), 30_000))
+    assert len(model.restore(place)) >= 15_000
