@@ -94,3 +94,32 @@ def test_run(spark, folder):
     path, *_ = folder
     assert pipeline.run(spark, path).count() > 100
     assert pipeline.ORACLE_SQL is None and [n for n, _ in pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "decontamination", "secret_scan", "best_fit_packing"]
+
+
+def odd_tables(spark, path, rows):
+    names = ["_toxicity", "n_words", "hit_words", "hit_items", "spans", "_text", "_row", "component_id", "length", "label", "a.b"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(pipeline.F.lit(k).alias(c) for k, c in enumerate(names)))
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path, docs.columns
+
+
+def test_clashing_columns_null_and_repeated_ids(spark, tmp_path):
+    """Copies leave one row, whatever their ids; a text under an id that another text has stays."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(5, a), (3, a), (5, b), (5, b), (None, b), (None, None), (None, None), (7, "token=abcdef0123"), (8, "")]
+    path, columns = odd_tables(spark, str(tmp_path), [(i, t, "en", "s", 1) for i, t in rows])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path).cache()
+        assert docs.columns == columns
+        assert all(tuple(r)[5:] == tuple(range(11)) for r in docs.collect())
+    assert sorted(((r.doc_id or 0, r.text or "") for r in docs.collect())) == [(0, ""), (0, ""), (3, a), (5, b), (7, "<SECRET>"), (8, "")]
+    assert pipeline.run(spark, path).count() == 6
+
+
+def test_empty_tables(spark, tmp_path):
+    path, _ = odd_tables(spark, str(tmp_path), [])
+    assert pipeline.run(spark, path).count() == 0
