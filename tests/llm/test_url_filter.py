@@ -66,6 +66,26 @@ def test_many_children_become_a_wildcard(spark):
     assert out.select("template").distinct().collect()[0][0] == "/*/page" and out.select("template").distinct().count() == 1
 
 
+def test_paths_are_judged_to_their_end(spark):
+    """Good and bad part at the sixth segment of paths far deeper; a path of hundreds of segments takes no more steps."""
+    deep = "/".join("abcde")
+    rows = [(k, f"http://h/{deep}/good/{k}/x/y", 0) for k in range(30)] + [(100 + k, f"http://h/{deep}/bad/{k}/x/y", 1) for k in range(30)]
+    rows += [(200, f"http://h/{deep}/good/99/x/y", None), (201, f"http://h/{deep}/bad/99/x/y", None), (202, "http://h/" + "/".join("s" * 600), None)]
+    out = {r.page_id: r for r in uf.judge(spark.createDataFrame(rows, "page_id long, url string, label int"), id_col="page_id", rules=[], label_col="label").collect()}
+    assert (out[200].verdict, out[201].verdict) == ("allow", "block") and out[201].template == f"/{deep}/bad/{{n}}/x/y"
+    assert out[202].template.count("/s") == 600
+
+
+def test_siblings_are_merged_at_every_level(spark):
+    """Alike at the third and second level; the bad one stays apart; marks that a path holds itself are doubled."""
+    rows = [(k, f"http://h/a/{'xyz'[k % 3]}/{'pq'[k % 2]}", 0) for k in range(90)] + [(100 + k, "http://h/a/bad/p", 1) for k in range(30)]
+    rows += [(200, "http://h/a/new/p", None), (201, "http://h/*/{n}/~", None)]
+    out = {r.page_id: r for r in uf.judge(spark.createDataFrame(rows, "page_id long, url string, label int"), id_col="page_id", rules=[], label_col="label").collect()}
+    assert out[0].branch == out[1].branch and out[0].verdict == "allow"
+    assert out[100].branch != out[0].branch and out[100].verdict == "block"
+    assert out[201].template == "/**/{{n}}/~~"
+
+
 def test_empty_table_and_clashing_columns(pages):
     assert uf.judge(pages.limit(0), id_col="page_id").count() == 0
     clash = pages.withColumn("host", F.lit("x")).withColumn("verdict", F.lit("y"))
