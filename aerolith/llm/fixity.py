@@ -7,16 +7,25 @@ hash into a node of the level above, up to one root an archive.  Roots of two
 replicas are compared, and only the children of differing nodes are looked at,
 level by level, down to the records that were changed, are missing or are extra.
 
+Archives are read record by record: Spark's text reader cuts files, compressed ones
+too, where one record ends and the next begins, so a file of any size streams
+through its tasks, and one that is not compressed is split among several.  Where
+what it cuts is shorter than its record says (an archive within an archive), the
+pieces of that file are put together again in order, one file a task.
+
 Ranges bound what is gathered for one hash (``RANGE`` over the shortest record),
 and a tree is grouped by archive and range, so an archive may hold any share of
 the rows.  Null digests, lengths or offsets count as the word ``null``; rows with
-a null archive form an archive of that name.  Repeated records are hashed as
-often as they occur and compared as a sorted list.  An empty replica has no
-roots: all of the other one's archives differ.
+a null archive form an archive of that name.  Repeated records are counted before
+they are hashed, as often as they occur, and records of one offset are compared as a
+sorted list of digest and length.  An empty replica has no roots: all of the other
+one's archives differ.  Very long records are hashed whole.  Results have columns of
+their own only, so other columns of the records may have any names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -59,21 +68,103 @@ def write_warc(records: list[tuple[str, bytes]]) -> bytes:
     return b"".join(out)
 
 
-def read_replica(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files under ``path``: archive (file name), offset, length, uri, digest.  One file is one task's work."""
-
-    def run(batches):
-        import hashlib
+#: where one record ends and the next begins
+_CUT, _OPEN = b"\r\n\r\nWARC/1.", b"WARC/1."
+_RECORD = "path string, block long, local long, spanned long, length long, uri string, digest string, whole boolean"
+
+
+def _record(data: bytes | bytearray, strict: bool) -> tuple[int, str | None, str] | None:
+    """Length, address and digest of a record without its opening; None if it is cut short, or, unless ``strict``, no record."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    headers = {}
+    for line in data[:end].split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        headers[bytes(name).strip().lower()] = bytes(value).strip()
+    try:
+        size = int(headers[b"content-length"])
+    except (KeyError, ValueError):
+        if strict:
+            raise ValueError("a record without a length") from None
+        return None
+    have = len(data) - end - 4
+    if have < size:
+        return None
+    # the last record of a file keeps its end
+    if data[end + 4 + size :] not in (b"", b"\r\n\r\n"):
+        if strict:
+            raise ValueError(f"a record of {size} bytes has {have}")
+        return None
+    uri = headers.get(b"warc-target-uri")
+    return len(_OPEN) + end + 4 + size + 4, uri.decode("utf-8", "replace") if uri is not None else None, hashlib.sha256(data[end + 4 : end + 4 + size]).hexdigest()
+
+
+def _opened(data: bytes, first: bool, path: str) -> bytes:
+    if first and not data.startswith(_OPEN):
+        raise ValueError(f"{path} does not begin with a record")
+    return data[len(_OPEN) :] if first else data
+
+
+def _each(batches):
+    """One row a piece; ``local`` is its place in the split, whatever the pieces hold."""
+    now, at = None, 0
+    for batch in batches:
+        out: list[tuple] = []
+        for path, block, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if (path, block) != now:
+                now, at = (path, block), 0
+            first = block == 0 and at == 0
+            found = _record(_opened(data, first, path), False)
+            out.append((path, block, at if first else at - len(_OPEN), len(data) + len(_CUT), *(found or (None, None, None)), found is not None))
+            at += len(data) + len(_CUT)
+        yield _rows(out)
+
+
+def _put_together(batches):
+    """Over the pieces of whole files in order: one row a record."""
+    now, at, begin, held = None, 0, 0, bytearray()
+    for batch in batches:
+        out: list[tuple] = []
+        for path, _, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if path != now:
+                if held:
+                    raise ValueError(f"{now} ends within a record")
+                now, at, held = path, 0, bytearray()
+            if held:
+                held += _CUT + data
+            else:
+                begin, held = (at - len(_OPEN) if at else 0), bytearray(_opened(data, at == 0, path))
+            at += len(data) + len(_CUT)
+            if found := _record(held, True):
+                out.append((path, 0, begin, 0, *found, True))
+                held = bytearray()
+        yield _rows(out)
+    if held:
+        raise ValueError(f"{now} ends within a record")
+
+
+def _rows(rows: list[tuple]):
+    import pyarrow as pa
+
+    kinds = [("path", pa.string()), ("block", pa.int64()), ("local", pa.int64()), ("spanned", pa.int64()), ("length", pa.int64()), ("uri", pa.string()), ("digest", pa.string()), ("whole", pa.bool_())]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-        import pyarrow as pa
 
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(name.rpartition("/")[2], at, size, h.get("warc-target-uri"), hashlib.sha256(block).hexdigest()) for at, size, h, block in parse_warc(data.as_py())]
-                yield pa.RecordBatch.from_pylist([dict(zip(("archive", "offset", "length", "uri", "digest"), r, strict=True)) for r in rows], schema=pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("uri", pa.string()), ("digest", pa.string())]))
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "archive string, offset long, length long, uri string, digest string")
+def read_replica(spark: SparkSession, path: str) -> DataFrame:
+    """Records of all WARC files under ``path``, plain or compressed: archive (file name), offset (of the plain bytes), length, uri, digest."""
+    pieces = spark.read.option("lineSep", _CUT.decode()).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
+    found = stored(pieces.mapInArrow(_each, _RECORD), "records")
+    torn = found.where("not whole").select("path").distinct()
+    # a split's records lie behind those of the splits before it; a few rows a file
+    behind = found.groupBy("path", "block").agg(F.sum("spanned").alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = found.join(torn, "path", "left_anti").join(behind.withColumn("before", before).drop("bytes"), ["path", "block"])
+    if torn.limit(1).count():
+        ordered = pieces.withColumn("id", F.monotonically_increasing_id()).join(torn, "path", "left_semi").repartition("path").sortWithinPartitions("path", "block", "id")
+        again = ordered.select("path", "block", "data").mapInArrow(_put_together, _RECORD)
+        out = out.unionByName(again.withColumn("before", F.lit(0).cast("long")))
+    return out.select(F.substring_index("path", "/", -1).alias("archive"), (F.col("before") + F.col("local")).alias("offset"), "length", "uri", "digest")
 
 
 # --- trees
@@ -99,8 +190,10 @@ def _keyed(records: DataFrame, range_bytes: int) -> DataFrame:
 
 def tree(records: DataFrame, levels: int, *, range_bytes: int = RANGE, fan: int = FAN) -> list[DataFrame]:
     """Nodes (archive, node, hash) from level 0, the ranges, to ``levels``."""
-    leaf = F.struct("offset", F.concat_ws(":", _text("offset"), _text("length"), "digest").alias("line"))
-    keyed = _keyed(records, range_bytes)
+    line = F.concat_ws(":", _text("offset"), _text("length"), "digest")
+    # repeated records become one line with their number, so copies never gather in one group
+    keyed = _keyed(records, range_bytes).groupBy("archive", "node", "offset", line.alias("line")).agg(F.count("*").alias("n"))
+    leaf = F.struct("offset", F.when(F.col("n") == 1, F.col("line")).otherwise(F.concat_ws("*", "line", F.col("n").cast("string"))).alias("line"))
     out = [stored(keyed.groupBy("archive", "node").agg(F.sort_array(F.collect_list(leaf)).alias("x")).select("archive", "node", _digest(F.transform("x", lambda x: x["line"])).alias("hash")), "ranges")]
     for _ in range(levels):
         child = F.struct("node", "hash")
@@ -124,7 +217,7 @@ def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def audit(a: DataFrame, b: DataFrame, *, range_bytes: int = RANGE, fan: int = FAN, levels: int = 0) -> DataFrame:
-    """archive, offset, length, status (changed, missing from b, extra in b), digests and roots for every record that differs."""
+    """archive, offset, length, status (changed, missing from b, extra in b), digests and roots for every place whose records differ."""
     levels = max(levels, needed_levels(a, range_bytes=range_bytes, fan=fan), needed_levels(b, range_bytes=range_bytes, fan=fan))
     one, two = tree(a, levels, range_bytes=range_bytes, fan=fan), tree(b, levels, range_bytes=range_bytes, fan=fan)
     roots = stored(_differing(one[-1], two[-1]), "roots")
@@ -137,11 +230,15 @@ def audit(a: DataFrame, b: DataFrame, *, range_bytes: int = RANGE, fan: int = FA
     # records of differing ranges; those alike on both sides, times included, drop out
     sides = []
     for side, records in (("a", a), ("b", b)):
-        own = _keyed(records, range_bytes).join(bad, ["archive", "node"], "left_semi")
-        sides.append(own.groupBy("archive", "offset").agg(F.array_join(F.sort_array(F.collect_list("digest")), ",").alias(f"digest_{side}"), F.max("length").alias(f"length_{side}")))
+        own = _keyed(records, range_bytes).join(bad, ["archive", "node"], "left_semi").groupBy("archive", "offset", "digest", "length").agg(F.count("*").alias("n"))
+        listed = F.sort_array(F.collect_list(F.struct("digest", "length", "n")))
+        sides.append(own.groupBy("archive", "offset").agg(listed.alias(f"list_{side}")))
     x, y = sides
     found = x.join(y.withColumnsRenamed({"archive": "_archive", "offset": "_offset"}), (F.col("archive") == F.col("_archive")) & F.col("offset").eqNullSafe(F.col("_offset")), "full")
-    found = found.where(~(F.col("digest_a").eqNullSafe(F.col("digest_b")) & F.col("length_a").eqNullSafe(F.col("length_b"))))
+    found = found.where(~F.col("list_a").eqNullSafe(F.col("list_b")))
+    for side in ("a", "b"):
+        times = F.flatten(F.transform(f"list_{side}", lambda x: F.array_repeat(x["digest"], x["n"].cast("int"))))
+        found = found.withColumns({f"digest_{side}": F.when(F.col(f"list_{side}").isNotNull(), F.array_join(times, ",")), f"length_{side}": F.array_max(F.transform(f"list_{side}", lambda x: x["length"]))})
     status = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("changed")
     found = found.select(F.coalesce("archive", "_archive").alias("archive"), F.coalesce("offset", "_offset").alias("offset"), F.coalesce("length_a", "length_b").alias("length"), status.alias("status"), "digest_a", "digest_b")
     tops = roots.groupBy("archive").agg(F.max("hash_a").alias("root_a"), F.max("hash_b").alias("root_b"))
@@ -156,22 +253,32 @@ _FRAME = len(write_warc([("", b"")])) - 1
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """page_id, archive, offset, length, digest: 1000 pages an archive, in order of page_id."""
+    """page_id, archive, offset, length, digest of the block, and digest_b of the block as the other replica holds it
+    (see ``replicas``): 1000 pages an archive, in order of page_id."""
     html = F.coalesce(F.col("html"), F.lit(""))
     block = F.octet_length(html)
-    narrow = pages.select("page_id", F.floor(F.col("page_id") / PER_ARCHIVE).cast("string").alias("archive"), (F.lit(_FRAME) + F.length(block.cast("string")) + F.octet_length(F.coalesce("url", F.lit(""))) + block).cast("long").alias("length"), F.sha2(html.cast("binary"), 256).alias("digest"))
+    held = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.substring(html, 2, 1 << 30))).otherwise(html)
+    narrow = pages.select(
+        "page_id", F.floor(F.col("page_id") / PER_ARCHIVE).cast("string").alias("archive"), (F.lit(_FRAME) + F.length(block.cast("string")) + F.octet_length(F.coalesce("url", F.lit(""))) + block).cast("long").alias("length"),
+        F.sha2(html.cast("binary"), 256).alias("digest"), F.sha2(held.cast("binary"), 256).alias("digest_b"),
+    )
     before = Window.partitionBy("archive").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return narrow.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica of ``records`` with planted damage: one in 97 records has other content, one in 389 is lost."""
-    return records.where(~(F.coalesce(F.col("page_id"), F.lit(0)) % 389 == 7)).withColumn("digest", F.when(F.col("page_id") % 97 == 13, F.sha2(F.concat("digest", F.lit("!")).cast("binary"), 256)).otherwise(F.col("digest")))
+def replicas(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records as they were written, and as a damaged replica holds them: in one of 97 the first character was
+    overwritten, one of 389 is lost, and behind one of 211 lies a stray copy."""
+    a = records.select("archive", "offset", "length", "digest")
+    at = F.coalesce(F.col("page_id"), F.lit(0))
+    kept = records.where(at % 389 != 7).select("archive", "offset", "length", F.col("digest_b").alias("digest"))
+    stray = records.where(at % 211 == 5).select("archive", (F.col("offset") + 1).alias("offset"), "length", F.col("digest_b").alias("digest"))
+    return a, kept.unionByName(stray)
 
 
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = stored(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")), "records")
-    return audit(records, damaged(records), levels=LEVELS)
+    return audit(*replicas(records), levels=LEVELS)
 
 
 def _oracle() -> str:
@@ -183,14 +290,15 @@ def _oracle() -> str:
         return out
 
     return f"""
-WITH n AS (SELECT page_id, CAST(page_id // {PER_ARCHIVE} AS VARCHAR) AS archive, CAST({_FRAME} + length(CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR)) + octet_length(encode(coalesce(url, ''))) + octet_length(encode(coalesce(html, ''))) AS BIGINT) AS length, sha256(coalesce(html, '')) AS digest FROM pages),
+WITH n AS (SELECT page_id, CAST(page_id // {PER_ARCHIVE} AS VARCHAR) AS archive, CAST({_FRAME} + length(CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR)) + octet_length(encode(coalesce(url, ''))) + octet_length(encode(coalesce(html, ''))) AS BIGINT) AS length, sha256(coalesce(html, '')) AS digest,
+  sha256(CASE WHEN page_id % 97 = 13 THEN '#' || substr(coalesce(html, ''), 2) ELSE coalesce(html, '') END) AS digest_b FROM pages),
 a AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM n),
-b AS (SELECT * REPLACE (CASE WHEN page_id % 97 = 13 THEN sha256(digest || '!') ELSE digest END AS digest) FROM a WHERE NOT page_id % 389 = 7),
+b AS (SELECT archive, "offset", length, digest_b AS digest FROM a WHERE page_id % 389 <> 7 UNION ALL SELECT archive, "offset" + 1, length, digest_b FROM a WHERE page_id % 211 = 5),
 {side("x", "a")},
 {side("y", "b")}
-SELECT a.archive, a."offset", a.length, CASE WHEN b.digest IS NULL THEN 'missing' ELSE 'changed' END AS status, a.digest AS digest_a, b.digest AS digest_b, r.hash AS root_a, s.hash AS root_b
-FROM a LEFT JOIN b USING (page_id) LEFT JOIN x{LEVELS} r ON r.archive = a.archive LEFT JOIN y{LEVELS} s ON s.archive = a.archive
-WHERE b.digest IS NULL OR b.digest <> a.digest
+SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a."offset", b."offset") AS "offset", coalesce(a.length, b.length) AS length, CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'changed' END AS status, a.digest AS digest_a, b.digest AS digest_b, r.hash AS root_a, s.hash AS root_b
+FROM a FULL JOIN b ON a.archive = b.archive AND a."offset" = b."offset" LEFT JOIN x{LEVELS} r ON r.archive = coalesce(a.archive, b.archive) LEFT JOIN y{LEVELS} s ON s.archive = coalesce(a.archive, b.archive)
+WHERE a.digest IS DISTINCT FROM b.digest
 """
 
 

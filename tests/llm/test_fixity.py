@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import gzip
+import hashlib
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +58,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert [(r.archive, r.offset, r.status) for r in fx.audit(a, b).collect()] == [("x.warc", 0, "changed")]
 
 
+@pytest.mark.parametrize("split", [1 << 27, 700])
+def test_archives_of_any_size_and_compression(spark, tmp_path, split):
+    """Splits of a few records, one member a record when compressed, blocks that look like records."""
+    rng = random.Random(7)
+    records = [(f"http://a/{k}", bytes(rng.choice(b"ab\r\n W") for _ in range(rng.randint(0, 300)))) for k in range(60)]
+    tricky = [*records[:20], ("http://t/", b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\n"), ("http://u/", b"\r\n\r\nWARC/1.1"), *records[20:]]
+    files = {"plain.warc": records, "tricky.warc": tricky, "zipped.warc.gz": records, "tricky.warc.gz": tricky}
+    for name, own in files.items():
+        data = fx.write_warc(own)
+        if name.endswith(".gz"):
+            ends = [at + n for at, n, _, _ in fx.parse_warc(data)]
+            data = b"".join(gzip.compress(data[a:b]) for a, b in zip([0, *ends], ends, strict=False))
+        (tmp_path / name).write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = {}
+        for r in fx.read_replica(spark, str(tmp_path)).collect():
+            got.setdefault(r.archive, []).append((r.offset, r.length, r.uri, r.digest))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, own in files.items():
+        want = [(at, n, h["warc-target-uri"], hashlib.sha256(block).hexdigest()) for at, n, h, block in fx.parse_warc(fx.write_warc(own))]
+        assert sorted(got[name]) == want
+
+
+def test_records_at_one_offset_are_compared_whole(spark):
+    a = [("a", 0, 5, "x"), ("a", 0, 9, "x")]
+    assert found(spark, a, [("a", 0, 4, "x"), ("a", 0, 9, "x")]) == [("a", 0, "changed")]
+    assert found(spark, a, a[::-1]) == []
+
+
 def test_query_against_sql(spark, tmp_path):
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), F.col("id").cast("string")).alias("url"), F.when(F.col("id") % 50 != 3, F.repeat(F.concat(F.lit("é"), F.col("id").cast("string")), 40)).alias("html"))
     pages.write.parquet(str(tmp_path / "pages.parquet"))
