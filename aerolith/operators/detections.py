@@ -14,8 +14,9 @@ ENTITY_GATES = ("coexistence_v1", "pingpong_v1", "identity_drift_v1")
 
 
 def assembled(df: DataFrame, **columns: Column) -> DataFrame:
-    """Rows of DETECTION; columns not given are null."""
-    return df.select(*(columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DETECTION.fields))
+    """Rows of DETECTION; columns not given are null.  Of rows made window by window, ``window_start`` stays."""
+    window = ["window_start"] if "window_start" in df.columns else []
+    return df.select(*(columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DETECTION.fields), *window)
 
 
 def _evidence(kind: Column, text: Column, measured: Column, threshold: Column, unit: Column) -> Column:

@@ -39,6 +39,15 @@ def confusion(results: DataFrame, *by: str) -> DataFrame:
     return results.groupBy(*by).agg(F.count_if(e & f).alias("tp"), F.count_if(~e & f).alias("fp"), F.count_if(e & ~f).alias("fn"), F.count_if(~e & ~f).alias("tn"))
 
 
+def fixture_results(observations: DataFrame, found: DataFrame) -> DataFrame:
+    """label, kind, gate, expected and fired of labelled observations (label, icao24); found: gate, icao24.  One row a label."""
+    kind, gate = labels(F.col("label"))
+    fired = found.select("icao24", F.col("gate").alias("_gate")).distinct()
+    rows = observations.select("label", "icao24").distinct().join(fired, "icao24", "left")
+    by = rows.groupBy("label").agg(F.array_sort(F.collect_set("_gate")).alias("gates"))
+    return by.select("label", kind.alias("kind"), gate.alias("gate"), (kind != "negative").alias("expected"), (F.size("gates") > 0).alias("fired"), "gates")
+
+
 def precision_recall(counts: DataFrame) -> DataFrame:
     """Null where nothing fired, or nothing should have."""
     return counts.withColumns({"precision": F.expr("try_divide(tp, tp + fp)"), "recall": F.expr("try_divide(tp, tp + fn)")})
@@ -54,6 +63,34 @@ def per_hour(found: DataFrame, hours: float) -> DataFrame:
     return found.groupBy("gate").agg((F.count("*") / F.lit(float(hours))).alias("per_hour"))
 
 
+def source_category(before: Column, now: Column, rate: Column) -> Column:
+    """How the sources (baro, geom, null: unknown) of two altitudes and of a climb rate go together."""
+    known = F.coalesce(before, now).isNotNull() & rate.isNotNull()
+    other = F.coalesce(before != rate, F.lit(False)) | F.coalesce(now != rate, F.lit(False))
+    switched = F.coalesce(before != now, F.lit(False))
+    return F.when(~known, "unresolved").when(switched, "altitude switched").when(other, "altitude and rate differ").otherwise("consistent")
+
+
+def source_report(alerts: DataFrame) -> DataFrame:
+    """alerts: category, measured.  By category: alerts, the median size, and the share of all alerts in percent."""
+    by = alerts.groupBy("category").agg(F.count("*").alias("alerts"), F.percentile(F.abs("measured"), 0.5).alias("median"))
+    # four rows at most
+    return by.withColumn("percent", 100 * F.col("alerts") / F.sum("alerts").over(Window.partitionBy(F.lit(1))))
+
+
+def combinations(rows: DataFrame, *columns: str, limit: int | None = None) -> DataFrame:
+    """How often values occur together, the most frequent first."""
+    out = rows.groupBy(*columns).agg(F.count("*").alias("n"))
+    return out.orderBy(F.desc("n"), *columns).limit(limit) if limit else out
+
+
+def described(rows: DataFrame, *columns: str) -> DataFrame:
+    """For each column a row: known values, mean, deviation, least, quartiles and most."""
+    stats = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("s")
+    agg = [F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev("x").alias("deviation"), F.min("x").alias("least"), *(F.percentile("x", q / 4).alias(f"q{q}") for q in (1, 2, 3)), F.max("x").alias("most")]
+    return rows.select(stats).select("s.*").groupBy("column").agg(*agg)
+
+
 def causes(false_positives: DataFrame) -> DataFrame:
     """False positives by the cause named in their label: ``kind:gate``, with trailing numbers left out."""
     cause = F.regexp_replace(F.regexp_replace("label", "^[a-z]+:", ""), "[-_ ]?[0-9]+$", "")

@@ -56,6 +56,14 @@ def findings(table: DataFrame, *, severity: str | None = None, entity: str | Non
     return table.orderBy(F.desc("start_at"), "entity_id", "gate").limit(limit)
 
 
+def latest_runs(runs: DataFrame, *, detector: str | None = None, limit: int = 50) -> DataFrame:
+    """The newest runs, of one detector or of all."""
+    if not 1 <= limit <= 500:
+        raise ValueError(f"limit {limit}")
+    rows = runs.where(F.col("detector_id") == detector) if detector else runs
+    return rows.orderBy(F.desc("started_at"), "run_id").limit(limit)
+
+
 def matched_rows(obs: DataFrame, raw: DataFrame) -> DataFrame:
     """Each observation with the raw row of its address and time; a raw row has two times (at, at_2) that may differ.  A row of
     the same altitude (within half a foot) is preferred, then the first line."""

@@ -53,7 +53,8 @@ grid AS (SELECT icao24, tick, a, seq, {", ".join(_blend(c) for c in (*_LERPED, "
 _C = f"{P.cell_size_deg}::DOUBLE"
 PAIRED = f"""{GRID},
 fly AS (SELECT *, floor(latitude / {_C}) AS cy, floor(longitude / {_C}) AS cx FROM grid WHERE altitude_ft IS NOT NULL AND ground_speed_kt IS NOT NULL AND NOT (altitude_ft < {P.ground_altitude_ft} AND ground_speed_kt < {P.ground_speed_kt}) AND NOT coalesce(on_ground, false) AND track_deg IS NOT NULL),
-pr AS (SELECT l.tick, l AS a, r AS b FROM fly l JOIN fly r ON l.tick = r.tick AND l.icao24 < r.icao24 AND abs(l.cy - r.cy) <= 1 AND abs(l.cx - r.cx) <= 1 AND abs(l.altitude_ft - r.altitude_ft) <= {P.max_vertical_prefilter_ft})"""
+around AS (SELECT fly.*, cy + dy AS ny, cx + dx AS nx FROM fly, (VALUES (-1), (0), (1)) y(dy), (VALUES (-1), (0), (1)) x(dx)),
+pr AS (SELECT l.tick, l AS a, r AS b FROM around l JOIN fly r ON l.tick = r.tick AND l.ny = r.cy AND l.nx = r.cx AND l.icao24 < r.icao24 AND abs(l.altitude_ft - r.altitude_ft) <= {P.max_vertical_prefilter_ft})"""
 _K = geo.MPS_PER_KT
 _E = "6371000.0::DOUBLE"
 CPA = f"""{PAIRED},
@@ -193,14 +194,8 @@ def zone_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(F.col("zone.zone_id").alias("zone_id")).agg(F.count("*").alias("reports"))
 
 
-@query(f"WITH {VERTICAL} SELECT seq, zone_id, vertical, {r3('altitude_ft')} AS altitude_ft, preferred FROM ver WHERE zone_id <> 'M-4'")
-def zone_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = airspace.candidates(_states(spark, sf_dir), airspace.prepared(base.zones(spark), A), A).where("zone is not null")
-    return airspace.vertical(df, A).select("seq", "zone.zone_id", "vertical", base.r3("altitude_ft").alias("altitude_ft"), F.col("preferred_source").alias("preferred")).where("zone_id <> 'M-4'")
-
-
 @query(f"WITH {VERTICAL} SELECT seq, zone_id, vertical, {r3('altitude_ft')} AS altitude_ft, preferred FROM ver")
-def zone_vertical_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def zone_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every zone, also the one whose ceiling is a flight level."""
     df = airspace.candidates(_states(spark, sf_dir), airspace.prepared(base.zones(spark), A), A).where("zone is not null")
     return airspace.vertical(df, A).select("seq", "zone.zone_id", "vertical", base.r3("altitude_ft").alias("altitude_ft"), F.col("preferred_source").alias("preferred"))

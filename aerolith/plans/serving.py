@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.functions import values as v
 from aerolith.functions.tables import RC_TO_NIC, rc_to_nic
-from aerolith.operators import observations, reports, serving, tracks
+from aerolith.operators import episodes, observations, reports, serving, tracks
 from aerolith.operators.airspace import hits as airspace_hits
-from aerolith.operators.gates import pair_gates
+from aerolith.operators.gates import pair_gates, spoofing_events
 from aerolith.plans import base, detectors, encounters, tracking
 from aerolith.plans.tracking import OBS, PAIRS, SCORED, H, r3, us
 from aerolith.sinks import tables as sinks
+from aerolith.sinks.shared import scratch
 from aerolith.streaming import episodes as stream_episodes
 from aerolith.streaming import live
 
@@ -262,12 +261,13 @@ def storage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("entity_id", us("observed_at").alias("us"), "domain", "raw_record_ref", base.r3("sog").alias("sog"), "cog")
 
 
-@query(f"WITH {encounters.REPORTS}, d AS (SELECT seq, max({encounters.case('reason', encounters.EXIT_DEPTH)}) AS depth FROM eval GROUP BY seq) SELECT count(*) AS states, count(*) FILTER (depth = 6) AS firing_reports, (SELECT count(*) FROM eval WHERE reason = 'detection') AS detections FROM d")
+@query(f"WITH {encounters.REPORTS}, d AS (SELECT seq, max({encounters.case('reason', encounters.EXIT_DEPTH)}) AS depth FROM eval GROUP BY seq) SELECT count(*) AS states, count(*) FILTER (depth = 6) AS firing_reports, (SELECT count(*) FROM eval WHERE reason = 'detection') AS detections, (SELECT string_agg(reason || ':' || n, ',' ORDER BY reason) FROM (SELECT {encounters.case('depth', {v: k for k, v in encounters.EXIT_DEPTH.items()})} AS reason, count(*) AS n FROM d GROUP BY 1)) AS exits FROM d")
 def exit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerolith.operators import airspace
 
     rows = encounters._evaluated(spark, sf_dir)
-    return sinks.exit_summary(airspace.exit_reasons(rows), airspace.only(rows, "detection").count()).drop("exits")
+    found = sinks.exit_summary(airspace.exit_reasons(rows), airspace.only(rows, "detection").count())
+    return found.withColumn("exits", F.array_join(F.transform(F.array_sort(F.map_entries("exits")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ","))
 
 
 # --- detectors
@@ -281,9 +281,9 @@ def spoofing_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("detector_id", "severity").agg(F.count("*").alias("findings"))
 
 
-@query(f"WITH {encounters.SLOTS} SELECT 'icao24:' || icao24_a AS first, 'icao24:' || icao24_b AS second, start_us, severity, confidence FROM slots WHERE severity = 'HIGH'")
+@query(f"WITH {encounters.SLOTS} SELECT 'icao24:' || icao24_a AS first, 'icao24:' || icao24_b AS second, start_us, severity, confidence FROM slots")
 def proximity_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detectors.run(base.obs(spark, sf_dir), [detectors.build("proximity", cfg=base.PROXIMITY)], dedup=True).where("severity = 'HIGH'")
+    found = detectors.run(base.obs(spark, sf_dir), [detectors.build("proximity", cfg=base.PROXIMITY)], dedup=True)
     return found.select(F.get("entity_ids", F.lit(0)).alias("first"), F.get("entity_ids", F.lit(1)).alias("second"), us("start_at").alias("start_us"), "severity", "confidence")
 
 
@@ -293,12 +293,121 @@ def airspace_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.get("entity_ids", F.lit(0)).alias("aircraft"), F.get("entity_ids", F.lit(1)).alias("zone"), us("start_at").alias("start_us"), us("end_at").alias("end_us"), base.r3("confidence").alias("confidence"))
 
 
-@query()
+_ONE = "QUALIFY row_number() OVER (PARTITION BY detector_id, detection_type, entities, key_us ORDER BY start_us, severity, score) = 1"
+_EXC = f"greatest({base.ALTITUDE.floor_ft}::DOUBLE - altitude_ft, altitude_ft - {base.ALTITUDE.ceiling_ft})"
+_ALTITUDES = f"SELECT 'example_altitude' AS detector_id, 'altitude_out_of_band' AS detection_type, 'aircraft:' || icao24 AS entities, us AS key_us, us AS start_us, CASE WHEN {_EXC} >= 1000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, least({_EXC}, 2000) AS score"
+_SPOOFS = f"SELECT 'spoofing' AS detector_id, {tracking.case('gate', tracking.GATE_TYPE)} AS detection_type, 'aircraft:' || icao24 AS entities, CASE WHEN {tracking._SCOPE} = 'event' THEN start_us END AS key_us, start_us, severity, score FROM detections WHERE NOT abstains"
+
+
+@query(
+    f"SELECT detector_id, detection_type, entities, start_us, severity FROM (WITH {OBS} {_ALTITUDES} FROM obs WHERE {_EXC} > 0 {_ONE}) UNION ALL SELECT detector_id, detection_type, entities, start_us, severity FROM (WITH {SCORED} {_SPOOFS} {_ONE}) "
+    f"UNION ALL SELECT 'proximity', 'predicted_proximity', entities, start_us, severity FROM (WITH {encounters.SLOTS} SELECT 'icao24:' || icao24_a || ',icao24:' || icao24_b AS entities, start_us, severity FROM slots) "
+    f"UNION ALL SELECT 'no_fly_zone', 'restricted_airspace_incursion', entities, start_us, severity FROM (WITH {encounters.EPISODES} SELECT 'icao24:' || icao24 || ',zone:' || zone_id AS entities, start_us, {encounters.case('severity_rank', encounters._NAMES)} AS severity FROM ep)"
+)
 def detection_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of all detectors as JSON documents, one for each key."""
+    """Findings of all detectors as JSON documents, one for each key; what the documents say is read back."""
     o = base.obs(spark, sf_dir)
-    all_ = [detectors.build("example_altitude", cfg=base.ALTITUDE), detectors.build("spoofing", cfg=C, registry=base.registry(spark, sf_dir)), detectors.build("no_fly_zone", zones=base.zones(spark), cfg=base.AIRSPACE)]
-    return sinks.as_json(detectors.replay(o, all_))
+    all_ = [detectors.build("example_altitude", cfg=base.ALTITUDE), detectors.build("spoofing", cfg=C, registry=base.registry(spark, sf_dir)), detectors.build("proximity", cfg=base.PROXIMITY), detectors.build("no_fly_zone", zones=base.zones(spark), cfg=base.AIRSPACE)]
+    documents = sinks.as_json(detectors.replay(o, all_))
+    d = documents.select(F.from_json("value", "detector_id string, detection_type string, entity_ids array<string>, start_at timestamp, severity string").alias("d")).select("d.*")
+    return d.select("detector_id", "detection_type", F.array_join("entity_ids", ",").alias("entities"), us("start_at").alias("start_us"), "severity")
+
+
+# --- detectors window by window
+
+
+def _windowed_sql(sql: str, window_h: int, step_h: int) -> str:
+    """The same SQL over observations whose address carries the window that they are in."""
+    span, step = window_h * H, step_h * H
+    windows = f"(SELECT * EXCLUDE (k) REPLACE (icao24 || '@' || (k * {step}) AS icao24) FROM (SELECT *, unnest(range((us - {span}) // {step} + 1, us // {step} + 1)) AS k FROM all_obs) WHERE k >= (SELECT min(us) // {step} FROM all_obs))"
+    return sql.replace(OBS, OBS.replace("obs AS (", "all_obs AS (", 1) + f",\nobs AS {windows}")
+
+
+_PLAIN, _WINDOW = "split_part(icao24, '@', 1)", "CAST(split_part(icao24, '@', 2) AS BIGINT)"
+
+
+@query(f"WITH {_windowed_sql(SCORED, 24, 24)} SELECT gate, {_PLAIN} AS icao24, {_WINDOW} AS window_us, start_us, end_us, CAST(hits AS BIGINT) AS hits, score, confidence, severity FROM detections")
+def windowed_spoofing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of a day judged by itself: no pair, run or episode reaches over its end."""
+    w = observations.windowed(base.obs(spark, sf_dir), 86_400)
+    found = episodes.consolidate(spoofing_events(w, C, "window_start"), C, "window_start")
+    d = reports.scored_spoofing(found, C)
+    return d.select("gate", "icao24", us("window_start").alias("window_us"), us("start_at").alias("start_us"), us("end_at").alias("end_us"), "hits", "score", "confidence", "severity")
+
+
+@query(
+    f"WITH {_windowed_sql(SCORED, 24, 12)}, found AS (SELECT {tracking.case('gate', tracking.GATE_TYPE)} AS detection_type, 'aircraft:' || {_PLAIN} AS entity_id, {tracking._SCOPE} AS scope, {_WINDOW} AS window_us, start_us, severity, score FROM detections WHERE NOT abstains) "
+    "SELECT detection_type, entity_id, scope, window_us, start_us, severity FROM found QUALIFY row_number() OVER (PARTITION BY detection_type, entity_id, CASE WHEN scope = 'event' THEN start_us END ORDER BY window_us, start_us, severity, score) = 1"
+)
+def sliding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a day every half day: what two of them find is given once, as the first found it."""
+    found = detectors.replay(base.obs(spark, sf_dir), [detectors.build("spoofing", cfg=C)], window_s=86_400, step_s=43_200)
+    return found.select("detection_type", F.get("entity_ids", F.lit(0)).alias("entity_id"), "scope", us("window_start").alias("window_us"), us("start_at").alias("start_us"), "severity")
+
+
+@query(f"WITH {OBS}, w AS (SELECT DISTINCT us // {24 * H} AS k FROM obs ORDER BY k LIMIT 3) SELECT 'aircraft:' || icao24 AS entity_id, us AS start_us, us // {24 * H} * {24 * H} AS window_us, CASE WHEN {_EXC} >= 1000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM obs WHERE {_EXC} > 0 AND us // {24 * H} IN (SELECT k FROM w)")
+def max_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three windows that hold any report."""
+    found = detectors.replay(base.obs(spark, sf_dir), [detectors.build("example_altitude", cfg=base.ALTITUDE)], window_s=86_400, max_windows=3)
+    return found.select(F.get("entity_ids", F.lit(0)).alias("entity_id"), us("start_at").alias("start_us"), us("window_start").alias("window_us"), "severity")
+
+
+@query(f"WITH {OBS}, e AS (SELECT * FROM obs ORDER BY us, seq LIMIT 200) SELECT 'aircraft:' || icao24 AS entity_id, us AS start_us FROM e WHERE {_EXC} > 0 GROUP BY ALL")
+def earliest_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earliest 200 reports through a detector: the limit is the feature."""
+    found = detectors.replay(base.obs(spark, sf_dir), [detectors.build("example_altitude", cfg=base.ALTITUDE)], limit=200)
+    return found.select(F.get("entity_ids", F.lit(0)).alias("entity_id"), us("start_at").alias("start_us"))
+
+
+# --- reports
+
+
+_SRC = "CASE ({0}) % 4 WHEN 0 THEN 'baro' WHEN 1 THEN 'geom' WHEN 2 THEN 'baro' END"
+_CATEGORY = f"CASE WHEN coalesce({_SRC.format('p_seq')}, {_SRC.format('seq')}) IS NULL OR {_SRC.format('seq + 1')} IS NULL THEN 'unresolved' WHEN {_SRC.format('p_seq')} <> {_SRC.format('seq')} THEN 'altitude switched' WHEN {_SRC.format('p_seq')} <> {_SRC.format('seq + 1')} OR {_SRC.format('seq')} <> {_SRC.format('seq + 1')} THEN 'altitude and rate differ' ELSE 'consistent' END"
+_CLIMBS = f"{PAIRS}, a AS (SELECT *, {_CATEGORY} AS category, {_SRC.format('seq')} AS altitude, {_SRC.format('seq + 1')} AS rate FROM pairs WHERE abs(climb_delta_fpm) > {C.vrate_delta_fpm})"
+
+
+def _climb_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contradictions of climb, with sources that go by the reports' numbers."""
+    source = lambda c: F.expr(_SRC.format(c))
+    f = tracks.pair_features(tracking._segments(spark, sf_dir)).where(F.abs("climb_delta_fpm") > C.vrate_delta_fpm)
+    return f.select(F.col("climb_delta_fpm").alias("measured"), reports.source_category(source("p.seq"), source("seq"), source("seq + 1")).alias("category"), source("seq").alias("altitude"), source("seq + 1").alias("rate"))
+
+
+@query(f"WITH {_CLIMBS}, c AS (SELECT category, count(*) AS alerts, median(abs(climb_delta_fpm)) AS m FROM a GROUP BY 1) SELECT category, alerts, {r3('m')} AS median, {r3('100.0::DOUBLE * alerts / (SELECT sum(alerts) FROM c)')} AS percent FROM c")
+def altitude_source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reports.source_report(_climb_alerts(spark, sf_dir))
+    return r.select("category", "alerts", base.r3("median").alias("median"), base.r3("percent").alias("percent"))
+
+
+@query(f"WITH {_CLIMBS} SELECT altitude, rate, count(*) AS n FROM a GROUP BY 1, 2")
+def source_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.combinations(_climb_alerts(spark, sf_dir), "altitude", "rate")
+
+
+@query("SELECT event_type AS cause, count(*) AS n FROM events WHERE event_id % 4 = 0 GROUP BY 1")
+def false_positive_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = base.table(spark, sf_dir, "events").where("event_id % 4 = 0").select(F.concat(F.lit("negative:"), "event_type", F.lit("-"), (F.col("event_id") % 9).cast("string")).alias("label"))
+    return reports.causes(e)
+
+
+_COLUMNS = ("altitude_ft", "ground_speed_kt", "nic")
+
+
+@query(
+    f"WITH {OBS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, {r3(f'avg({c}::DOUBLE)')} AS mean, {r3(f'stddev({c}::DOUBLE)')} AS deviation, min({c})::DOUBLE AS least, {', '.join(r3(f'quantile_cont({c}::DOUBLE, {q / 4})') + f' AS q{q}' for q in (1, 2, 3))}, max({c})::DOUBLE AS most FROM obs" for c in _COLUMNS)
+)
+def described_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = reports.described(base.obs(spark, sf_dir), *_COLUMNS)
+    return d.select("column", "n", *(base.r3(c).alias(c) for c in ("mean", "deviation")), "least", *(base.r3(c).alias(c) for c in ("q1", "q2", "q3")), "most")
+
+
+@query("SELECT o_orderkey::VARCHAR AS run_id, o_orderstatus AS status, epoch_us(o_orderdate::TIMESTAMP) AS started_us FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, run_id LIMIT 50")
+def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 50 runs of one detector: the limit is the feature."""
+    o = base.table(spark, sf_dir, "orders")
+    runs = o.select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderpriority").alias("detector_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp").alias("started_at"))
+    return serving.latest_runs(runs, detector="1-URGENT").select("run_id", "status", us("started_at").alias("started_us"))
 
 
 # --- streams
@@ -309,13 +418,6 @@ def _stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="aerolith-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _in_order(rows: DataFrame, time: str, path: str, parts: int = 3) -> None:
     """Write a table as files one after the other in time, as a feed would."""
     cuts = rows.approxQuantile(time, [k / parts for k in range(1, parts)], 0.01)
@@ -333,7 +435,7 @@ def _ran(writer, checkpoint: str) -> None:
 @query(f"WITH {OBS} SELECT us // {24 * H} * {24 * H} AS window_us, icao24, count(*) AS reports, {r3('max(ground_speed_kt)')} AS top_kt FROM obs GROUP BY 1, 2")
 def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tumbling windows of a stream, upserted batch by batch."""
-    at = _scratch(spark, "stream")
+    at = scratch(spark, "stream")
     _in_order(base.obs(spark, sf_dir).withColumn("us", us("observed_at")), "us", f"{at}/in")
     counted = live.tumbling(_stream(spark, f"{at}/in"), 86_400, lateness_s=120 * 86_400)
     keyed = counted.withColumn("key", F.concat_ws("@", "icao24", us("window_start").cast("string")))
@@ -342,16 +444,37 @@ def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select(us("window_start").alias("window_us"), "icao24", "reports", base.r3("top_kt").alias("top_kt"))
 
 
-@query(f"WITH {encounters.EPISODES} SELECT icao24, zone_id, start_us, end_us, CAST(hits AS BIGINT) AS hits, {r3('confidence')} AS confidence FROM ep")
-def streaming_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incursion episodes by stateful streaming: the same as in batch."""
-    at = _scratch(spark, "episodes")
+def _streamed(spark: SparkSession, sf_dir: str, silence: bool) -> DataFrame:
+    """Episodes of a stream, upserted batch by batch in a table of several buckets."""
+    at = scratch(spark, "episodes")
     rows = encounters._evaluated(spark, sf_dir)
     stream_episodes.report_lists(rows, airspace_hits(rows, base.AIRSPACE)).write.parquet(f"{at}/reports")
     listed = spark.read.parquet(f"{at}/reports")
     _in_order(listed.withColumn("us", F.col("us").cast("long")), "us", f"{at}/in")
-    found = stream_episodes.episodes(_stream(spark, f"{at}/in"), base.AIRSPACE, forget=False)
+    found = stream_episodes.episodes(_stream(spark, f"{at}/in"), base.AIRSPACE, silence=silence)
     keyed = found.withColumn("key", F.concat_ws("@", "icao24", "zone_id", F.col("start_us").cast("string")))
-    table = sinks.VersionedTable(spark, f"{at}/out", keyed.schema)
-    _ran(live.upserting(keyed, table, "key", "end_us", "hits", kept=("key",)), f"{at}/check")
-    return table.read().select("icao24", "zone_id", "start_us", "end_us", "hits", base.r3("confidence").alias("confidence"))
+    table = sinks.VersionedTable(spark, f"{at}/out", keyed.schema, key="key", buckets=4)
+    # of one batch's rows of an episode the closing one is the last
+    _ran(live.upserting(keyed, table, "key", "end_us", "hits", "rank", kept=("key",), prepare=lambda df: df.withColumn("rank", F.when(F.col("status") == "CLOSED", 1).otherwise(0))), f"{at}/check")
+    return table.read()
+
+
+@query(f"WITH {encounters.EPISODES} SELECT icao24, zone_id, start_us, end_us, CAST(hits AS BIGINT) AS hits, {r3('confidence')} AS confidence FROM ep")
+def streaming_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incursion episodes by stateful streaming: the same as in batch."""
+    return _streamed(spark, sf_dir, False).select("icao24", "zone_id", "start_us", "end_us", "hits", base.r3("confidence").alias("confidence"))
+
+
+_QUIET = int((base.AIRSPACE.max_gap_s + base.AIRSPACE.feed_lateness_s) * 1e6)
+
+
+@query(
+    f"WITH {encounters.EPISODES}, own AS (SELECT icao24, zone_id, episode, max(rn) AS rn, max(gid) AS gid, max(us) AS end_us FROM c GROUP BY ALL), "
+    "seen AS (SELECT s.icao24, us, rn, gid FROM states s JOIN num USING (seq)), last AS (SELECT icao24, max(us) AS last_us, max(gid) AS last_gid FROM seen GROUP BY icao24), "
+    "after AS (SELECT o.icao24, o.zone_id, o.episode, count(s.rn) AS clear FROM own o LEFT JOIN seen s ON s.icao24 = o.icao24 AND s.gid = o.gid AND s.rn > o.rn GROUP BY ALL) "
+    f"SELECT ep.icao24, ep.zone_id, ep.start_us, CAST(ep.hits AS BIGINT) AS hits, CASE WHEN last_gid > own.gid OR clear >= {base.AIRSPACE.clear_observations_to_close} OR (SELECT max(us) FROM seen) - last_us > {_QUIET} THEN 'CLOSED' ELSE 'OPEN' END AS status "
+    "FROM ep JOIN own USING (icao24, zone_id, episode) JOIN after USING (icao24, zone_id, episode) JOIN last ON last.icao24 = ep.icao24"
+)
+def closed_on_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a stream, with timers: aircraft that went quiet have their episodes closed, though they never report again."""
+    return _streamed(spark, sf_dir, True).select("icao24", "zone_id", "start_us", "hits", "status")

@@ -1,4 +1,4 @@
-"""Synthetic tracks for tests: a clean flight and ways to spoil it."""
+"""Synthetic tracks for tests and the evaluation: a clean flight, ways to spoil it, and tracks that are odd but honest."""
 
 from __future__ import annotations
 
@@ -57,3 +57,62 @@ def impersonation(track: DataFrame, offset_nm: float = 80.0) -> DataFrame:
     la, lo = geo.destination(F.col("latitude"), F.col("longitude"), F.lit(180.0), F.lit(offset_nm * geo.M_PER_NM))
     other = track.withColumns({"latitude": la, "longitude": lo, "observed_at": F.timestamp_micros(F.unix_micros("observed_at") + 2_000_000), "seq": F.col("seq") + 100_000})
     return track.unionByName(other)
+
+
+def takeover(track: DataFrame, first: int, last: int, jump_nm: float = 120.0) -> DataFrame:
+    """Silence, then the track goes on where it cannot have come to."""
+    la, lo = geo.destination(F.col("latitude"), F.col("longitude"), F.lit(0.0), F.lit(jump_nm * geo.M_PER_NM))
+    return spoiled(silence(track, first, last), last + 1, 1 << 30, latitude=la, longitude=lo)
+
+
+def turning(track: DataFrame, rate_dps: float, interval_s: float = 5.0, speed_kt: float = 250.0) -> DataFrame:
+    """The track bent to a circle, flown at a constant rate of turn."""
+    radius = speed_kt / geo.KT_PER_MPS / (rate_dps * 3.141592653589793 / 180)
+    heading = F.pmod(F.col("seq") * (interval_s * rate_dps), F.lit(360.0))
+    # the centre is abeam; the first report lies west of it, heading north
+    la, lo = geo.destination(F.lit(37.3), F.lit(-79.2), heading - 90.0, F.lit(radius))
+    return track.withColumns({"latitude": la, "longitude": lo, "track_deg": heading, "ground_speed_kt": F.lit(speed_kt)})
+
+
+def jittered(track: DataFrame, most_m: float) -> DataFrame:
+    """Position errors of up to ``most_m``, the same on every run."""
+    la, lo = geo.destination(F.col("latitude"), F.col("longitude"), F.pmod(F.col("seq") * 137.0, F.lit(360.0)), F.pmod(F.col("seq") * 0.618, F.lit(1.0)) * most_m)
+    return track.withColumns({"latitude": la, "longitude": lo})
+
+
+def labelled(spark: SparkSession) -> DataFrame:
+    """Tracks of the evaluation, each of an address of its own, with ``label``: ``positive:rule``, ``guard:rule`` or ``negative:why``."""
+
+    def clean(**options) -> DataFrame:
+        return clean_track(spark, "a00000", **options)
+
+    still = {"nic": F.lit(0)}
+    one = {
+        "positive:teleport_v1": teleport(clean(), 20, 47.0),
+        "positive:speed_delta_v1": speed_lie(clean(), 10, 25, 0.65),
+        "positive:vrate_delta_v1": climb_lie(clean(), 10, 25, 3500.0),
+        "positive:turn_rate_v1": impossible_turn(clean(), 20, 95.0),
+        "positive:coexistence_v1": impersonation(clean(), 90.0),
+        "positive:reappear_v1": takeover(clean(points=60), 18, 33),
+        "positive:nic_floor_v1": integrity_collapse(clean(), 12, 30),
+        "guard:teleport_v1": teleport(clean(), 15, 450.0),
+        "guard:turn_rate_v1": impossible_turn(clean(speed_kt=450.0), 20, 90.0),
+        "guard:speed_delta_v1": spoiled(clean(interval_s=30.0, speed_kt=480.0), 5, 30, ground_speed_kt=F.lit(90.0)),
+        "guard:vrate_delta_v1": climb_lie(clean(altitude_ft=35000.0), 10, 25, 5000.0),
+        "guard:nic_floor_v1": spoiled(clean(points=80), 5, 65, **still),
+        "guard:coexistence_v1": impersonation(clean(), 200.0),
+        "negative:tailwind": clean(speed_kt=780.0),
+        "negative:standard-turn": turning(clean(), 3.0),
+        "negative:descent": clean(vertical_rate_fpm=-2400.0),
+        "negative:quiet": silence(clean(points=60), 18, 41),
+        "negative:brief-integrity-dip": integrity_collapse(clean(), 18, 22),
+        "negative:vehicle": spoiled(clean(speed_kt=12.0, altitude_ft=900.0), 0, 99, on_ground=F.lit(True), track_deg=F.pmod(F.col("seq") * 113.0, F.lit(360.0))),
+        "negative:jitter": jittered(clean(interval_s=0.55), 25.0),
+        "negative:sparse": clean(points=2, interval_s=4.0),
+        "negative:formation": clean().unionByName(clean_track(spark, "b00000", lat=37.304)),
+    }
+    out = None
+    for k, (label, track) in enumerate(one.items()):
+        own = track.withColumns({"icao24": F.concat(F.substring("icao24", 1, 4), F.lit(f"{k:02x}")), "label": F.lit(label)})
+        out = own if out is None else out.unionByName(own)
+    return out

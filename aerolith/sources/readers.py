@@ -14,13 +14,27 @@ from aerolith.functions.tables import rc_to_nic
 def numbered(df: DataFrame) -> DataFrame:
     """Adds ``source_row_id``: path and 1-based data row of each file.
 
-    Rows of a split keep their order, and splits are ordered by where they begin in the file."""
+    Rows are numbered within their split; what the splits before it in the file hold is added, from a count for each split, so
+    a file of any size is numbered by all its tasks."""
     df = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_id", F.monotonically_increasing_id())
-    n = F.row_number().over(Window.partitionBy("_path").orderBy("_block", "_id"))
-    return df.withColumn("source_row_id", F.concat_ws(":", F.regexp_replace("_path", "^file:(//)?", ""), n.cast("string"))).drop("_path", "_block", "_id")
+    splits = df.groupBy("_path", "_block").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+    # a few rows a file: one for each split
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("_path").alias("_p"), F.col("_block").alias("_b"), "_first", before.alias("_before"))
+    out = df.join(splits, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    n = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    return out.withColumn("source_row_id", F.concat_ws(":", F.regexp_replace("_path", "^file:(//)?", ""), n.cast("string"))).drop("_path", "_block", "_id", "_p", "_b", "_first", "_before")
 
 
-def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def file_rows(spark: SparkSession, files: list[str]) -> DataFrame:
+    """path, rows and rows in the files before it, by name, of CSV files."""
+    raw = _raw_csv(spark, files).select(F.regexp_replace("_metadata.file_path", "^file:(//)?", "").alias("path"))
+    counts = raw.groupBy("path").agg(F.count("*").alias("rows"))
+    whole = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    return counts.withColumn("before", F.coalesce(F.sum("rows").over(whole), F.lit(0)))
+
+
+def _raw_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     # every column a string: a field that does not parse is null, it does not drop the row
     return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
 
@@ -35,8 +49,17 @@ def _as(schema_: T.StructType, columns: dict[str, Column]) -> list[Column]:
 
 def readsb_csv(spark: SparkSession, path: str, *, receiver_id: str | None = None) -> DataFrame:
     """Receiver CSV as observations.  A bad optional field is null; rows without a valid address, time or position are dropped."""
-    raw = numbered(_raw_csv(spark, path))
+    rows = _readsb(numbered(_raw_csv(spark, path)), receiver_id)
+    return rows.where(_VALID)
+
+
+#: fixed values: what makes a receiver's row an observation
+_VALID = "icao24 rlike '^[0-9a-fA-F]{6}$' and observed_at is not null and latitude between -90 and 90 and longitude between -180 and 180"
+
+
+def _readsb(raw: DataFrame, receiver_id: str | None = None) -> DataFrame:
     c = lambda n: _column(raw, n)
+    # fixed values: the receiver's column names
     columns = {
         "icao24": F.lower(F.trim(c("h"))),
         "observed_at": F.trim(c("timestamp")).try_cast("timestamp"),
@@ -54,16 +77,21 @@ def readsb_csv(spark: SparkSession, path: str, *, receiver_id: str | None = None
         "receiver_id": F.lit(receiver_id),
         "on_ground": v.boolean(c("og")),
         "emitter_category": v.text(c("c")),
-        "source_row_id": F.col("source_row_id"),
+        "source_row_id": c("source_row_id"),
     }
-    rows = raw.select(*_as(schema.OBSERVATION, columns))
-    return rows.where(v.icao_address(F.col("icao24")) & F.col("observed_at").isNotNull() & F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180))
+    return raw.select(*_as(schema.OBSERVATION, columns))
+
+
+def counted(spark: SparkSession, path: str) -> DataFrame:
+    """One row: rows read, kept and skipped, in one scan."""
+    rows = _readsb(_raw_csv(spark, path))
+    kept = F.count_if(F.coalesce(F.expr(_VALID), F.lit(False)))
+    return rows.agg(F.count("*").alias("total"), kept.alias("normalized"), (F.count("*") - kept).alias("skipped"))
 
 
 def normalization_counts(spark: SparkSession, path: str) -> dict[str, int]:
     """Rows read, kept and skipped."""
-    total, kept = _raw_csv(spark, path).count(), readsb_csv(spark, path).count()
-    return {"total": total, "normalized": kept, "skipped": total - kept}
+    return counted(spark, path).first().asDict()
 
 
 def pruned_csv(spark: SparkSession, path: str, *, start: str | None = None, end: str | None = None, bbox: tuple[float, float, float, float] | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -157,7 +185,7 @@ FEED = T.StructType(
 def feed_rows(documents: DataFrame, source_id: str) -> DataFrame:
     """Feed documents (FEED's columns, batch or stream) as stored rows; features without address, position or time are dropped."""
     f = documents.select(F.explode("features").alias("f")).select("f.*")
-    p = lambda k: F.get("properties", F.lit(k)) if False else F.element_at("properties", F.lit(k))
+    p = lambda k: F.element_at("properties", F.lit(k))
     hex_ = v.text(F.lower(p("hex")))
     at = F.coalesce(p("observed_at").try_cast("timestamp"), F.timestamp_seconds(v.number(p("observed_at"))))
     lon, lat = F.get("geometry.coordinates", F.lit(0)), F.get("geometry.coordinates", F.lit(1))
@@ -243,3 +271,14 @@ def detections(spark: SparkSession, path: str) -> DataFrame:
     """Detections written as JSON lines; a line that does not parse has ``_bad`` set and nothing else."""
     with_bad = T.StructType([*schema.DETECTION.fields, T.StructField("_bad", T.StringType())])
     return spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+
+
+def hourly(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of states by hour, ``hour`` as text."""
+    with_hour = T.StructType([*schema.STATE.fields, T.StructField("hour", T.StringType())])
+    return spark.read.schema(with_hour).parquet(path)
+
+
+def exit_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """Run summaries written as JSON: reports, firing reports, detections and the histogram of exits."""
+    return spark.read.schema("states long, firing_reports long, detections long, exits map<string,long>").json(path)

@@ -48,39 +48,56 @@ class Tracker:
             e |= {"end": at, "hits": e["hits"] + 1, "clear": 0, "best": max(e["best"], e["run_best"] * ramp)}
 
 
-def episodes(reports: DataFrame, cfg: Airspace, *, forget: bool = True) -> DataFrame:
+def episodes(reports: DataFrame, cfg: Airspace, *, silence: bool = True) -> DataFrame:
     """reports (stream): icao24, us, seq, hits (array of zone_id, confidence; empty: clear).
 
     Update mode: rows of episodes that closed, and of all that are open, so that the last row of a key (icao24, zone_id,
-    start_us) is its present state.  A report no later than one of an earlier batch is dropped for its aircraft only, and an
-    aircraft that is silent for the retention is forgotten, unless ``forget`` is off: a query that ends when its input does must
-    not wait for timeouts."""
+    start_us) is its present state.  A report no later than one of an earlier batch is dropped for its aircraft only.
+
+    The feed's clock is its newest report.  An aircraft that is silent for ``max_gap_s`` at the clock less ``feed_lateness_s``
+    has its episodes closed by a timer on event time, whether or not it ever reports again, and is forgotten after
+    ``seen_retention_s``, behind which reports are too late.  Without ``silence`` there are no timers: what is open at the end
+    of the input stays so."""
+    retention = max(cfg.seen_retention_s, cfg.max_gap_s + cfg.feed_lateness_s)
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tracker = Tracker(cfg, json.loads(state.get[0]) if state.exists else None)
-        before = tracker.last
-        pdf = pd.concat(list(frames)).sort_values(["us", "seq"], kind="stable")
         rows = []
 
         def add(zone, e, status):
             rows.append((key[0], zone, e["start"], e["end"], e["hits"], e["best"], status))
 
-        for at, hits in zip(pdf["us"], pdf["hits"], strict=True):
-            if before is not None and at <= before:
-                continue
-            for zone, e in tracker.feed(int(at), {h["zone_id"]: h["confidence"] for h in hits}):
+        def wake(tracker: Tracker) -> None:
+            """The watermark is the clock less the retention: the timer's time is set back by as much."""
+            if not silence:
+                return
+            quiet = cfg.max_gap_s + cfg.feed_lateness_s - retention if tracker.open else 0
+            state.setTimeoutTimestamp(max(int(tracker.last / 1000 + quiet * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+
+        tracker = Tracker(cfg, json.loads(state.get[0]) if state.exists else None)
+        if state.hasTimedOut:
+            if not tracker.open:
+                state.remove()
+                return
+            for zone, e in tracker.open.items():
                 add(zone, e, "CLOSED")
-        for zone, e in tracker.open.items():
-            add(zone, e, "OPEN")
+            tracker.open = {}
+        else:
+            before = tracker.last
+            pdf = pd.concat(list(frames)).sort_values(["us", "seq"], kind="stable")
+            for at, hits in zip(pdf["us"], pdf["hits"], strict=True):
+                if before is not None and at <= before:
+                    continue
+                for zone, e in tracker.feed(int(at), {h["zone_id"]: h["confidence"] for h in hits}):
+                    add(zone, e, "CLOSED")
+            for zone, e in tracker.open.items():
+                add(zone, e, "OPEN")
         state.update((json.dumps(tracker.state()),))
-        if forget:
-            state.setTimeoutDuration(int(cfg.seen_retention_s * 1000))
+        wake(tracker)
         yield pd.DataFrame(rows, columns=["icao24", "zone_id", "start_us", "end_us", "hits", "confidence", "status"])
 
-    return reports.groupBy("icao24").applyInPandasWithState(run, OUTPUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
+    if silence:
+        reports = reports.withColumn("at", F.timestamp_micros("us")).withWatermark("at", f"{int(retention)} seconds")
+    return reports.groupBy("icao24").applyInPandasWithState(run, OUTPUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout if silence else GroupStateTimeout.NoTimeout)
 
 
 def report_lists(evaluated: DataFrame, hits: DataFrame) -> DataFrame:

@@ -122,6 +122,8 @@ def test_airspace_service(spark):
     rows = spark.createDataFrame([(x[0],) for x in times], "t string").select(service.activation(t), service.schedule(t)["unknown_outside"], service.unknown_within(t), service.schedule(t)["windows"]).collect()
     assert [tuple(r)[:3] for r in rows] == [x[1:] for x in times]
     assert rows[0][3][0].start_time == "08:00" and rows[0][3][0].weekdays == [0, 1, 2, 3, 4] and rows[1][3][0].start_time == "06:30"
+    assert (rows[1][3][0].end_sunset, rows[1][3][0].end_time, rows[2][3][0].start_sunrise, rows[2][3][0].end_sunset) == (True, None, True, True)
+    assert [r[3] for r in rows[3:]] == [[]] * 5
     raw = spark.createDataFrame([("Alpha", "R", "0", "FT", "SFC", "100", "FL", "STD", "CONTINUOUS", [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]]]), ("ALPHA", "R", "5000", "FT", "MSL", "200", "FL", "STD", None, [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.00000049]]])], "NAME string, TYPE_CODE string, LOWER_VAL string, LOWER_UOM string, LOWER_CODE string, UPPER_VAL string, UPPER_UOM string, UPPER_CODE string, TIMESOFUSE string, rings array<array<array<double>>>")
     z = service.features(raw, {"R": "RESTRICTED"}, asof="2026-01-01")
     assert sorted(r.zone_id for r in z.collect()) == ["ALPHA-1", "ALPHA-2"]
@@ -130,6 +132,25 @@ def test_airspace_service(spark):
         service.keep_local(z, 0.0, 0.0, 1.0, ["nowhere"])
 
 
+def test_schedule_grammar(spark):
+    """Hours, days, seasons and remarks in any order; what is no such phrase has no windows."""
+    said = {
+        "0700-1900, SAT - SUN": ("07:00", "19:00", [5, 6], None, None, False),
+        "FRI-MON, SUNRISE-2130; O/T BY NOTAM": (None, "21:30", [0, 4, 5, 6], None, None, True),
+        "0600-1200, MON, WED, FRI-SAT": ("06:00", "12:00", [0, 2, 4, 5], None, None, False),
+        "continuous ,  nov 3 - mar 20 ; other times by notam 24 hours ahead": (None, None, None, "11-03", "03-20", True),
+        "APR 1-OCT 9, 900-1700, DAILY, INTERMITTENT": ("09:00", "17:00", None, "04-01", "10-09", False),
+    }
+    none = ["INTERMITTENT BY NOTAM", "0700-1900", "CONTINUOUS, DAILY", "0700-1900, 0800-0900, DAILY", "0700-1900, SOMEDAY", "SUNSET-SUNRISE, DAILY", "0700-1900, DAILY; SEE CHART", "MAY 1-SEP 15", ","]
+    t = F.col("t")
+    rows = spark.createDataFrame([(x,) for x in [*said, *none]], "t string").select(service.schedule(t)["windows"], service.schedule(t)["unknown_outside"]).collect()
+    for r, want in zip(rows, said.values(), strict=False):
+        w = r[0][0]
+        assert (w.start_time, w.end_time, w.weekdays, w.start_month_day, w.end_month_day, r[1]) == want
+        assert bool(w.all_day) == (w.start_time is None and w.end_time is None)
+    assert [tuple(r) for r in rows[len(said) :]] == [([], False)] * len(none)
+
+
 def test_payload_parity(spark):
     """Both payload shapes give the same observation."""
     flat = {"altitude_ft": 100.0, "vertical_rate_fpm": -64, "nic": 8, "nacp": 9, "squawk": "1200", "callsign": "AB1", "emitter_category": "A3"}
