@@ -1,27 +1,17 @@
-"""Tables and checkpoints in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests, local runs) a folder of this machine, set for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="aerolith-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from aerolith.sinks.shared import scratch
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What a session has stored lies in a folder of its own, which ``aerolith.sinks.shared.clear`` deletes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/aerolith-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
