@@ -1,4 +1,4 @@
-"""Thresholds of the detectors; the defaults are the documented ones."""
+"""Thresholds of the detectors.  The defaults are fixed values: the documented ones, which findings depend on."""
 
 from __future__ import annotations
 

@@ -17,13 +17,13 @@ NACP_EPU_M = {1: 18520.0, 2: 7408.0, 3: 3704.0, 4: 1852.0, 5: 926.0, 6: 556.0, 7
 # the same in nautical miles, as pair quality uses it
 NACP_RADIUS_NM = {1: 10.0, 2: 4.0, 3: 2.0, 4: 1.0, 5: 0.5, 6: 0.3, 7: 0.1, 8: 0.05, 9: 0.016, 10: 0.005, 11: 0.002}
 
-# rule -> weight of its severity; any other rule weighs 0.5
+# fixed values: rule -> weight of its severity; any other rule weighs 0.5
 GATE_WEIGHT = {
-    "teleport_v1": 1.0, "coexistence_v1": 0.95, "subterrain_v1": 0.9, "pingpong_v1": 0.85, "registry_mismatch_v1": 0.8, "turn_rate_v1": 0.7,
+    "teleport_v1": 1.0, "coexistence_v1": 0.95, "subterrain_v1": 0.9, "pingpong_v1": 0.85, "registry_mismatch_v1": 0.8, "impersonation_v1": 0.8, "turn_rate_v1": 0.7,
     "reappear_v1": 0.55, "speed_delta_v1": 0.5, "vrate_delta_v1": 0.5, "nic_floor_v1": 0.3, "identity_drift_v1": 0.3,
 }
 
-# rule -> detection type
+# fixed values: rule -> detection type
 GATE_TYPE = {
     "teleport_v1": "position_jump", "reappear_v1": "position_jump", "turn_rate_v1": "kinematic_inconsistency", "speed_delta_v1": "kinematic_inconsistency",
     "vrate_delta_v1": "kinematic_inconsistency", "nic_floor_v1": "integrity_degraded", "coexistence_v1": "identity_coexistence", "pingpong_v1": "identity_coexistence",

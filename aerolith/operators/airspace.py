@@ -12,7 +12,9 @@ from aerolith.functions.tables import EXIT_DEPTH, NIC_RADIUS_M, SEVERITY_RANK, l
 
 #: degrees of the grid on which zones and reports meet
 CELL = 0.25
-BROADCAST_ZONES = 100_000
+#: cells of zones, of some 100 bytes, and edges of zones, of 32 bytes, that are broadcast
+BROADCAST_TILES = 200_000
+BROADCAST_EDGES = 500_000
 
 # fixed values
 EMERGENCY = ["7500", "7600", "7700"]
@@ -37,23 +39,27 @@ def candidates(states: DataFrame, zones: DataFrame, cfg: Airspace) -> DataFrame:
     """Left join of reports and zones whose bounds, widened by the position's uncertainty, hold the report.
 
     Each zone is keyed by the grid cells that its bounds touch when widened by the largest uncertainty there is, so a report
-    has one cell and meets each zone at most once.  The zones are broadcast when few (counted), and shuffled by cell when not."""
+    has one cell and meets each zone at most once.  What is keyed by cell is the zone's id and bounds; its geometry is joined by id to
+    the reports that are near.  Either table is broadcast when it is small (counted, in one job), and shuffled when not."""
     widest = max(cfg.default_uncertainty_m, *NIC_RADIUS_M.values()) / geo.M_PER_NM / 60
     stretch = F.greatest(F.cos(F.radians(F.greatest(F.abs("south"), F.abs("north")) + widest)), F.lit(0.01))
 
     def cells(low: Column, high: Column) -> Column:
         return F.sequence(geo.cell(low, CELL), geo.cell(high, CELL))
 
-    tiles = zones.select(F.struct(*zones.columns).alias("zone"), F.explode(cells(F.col("south") - widest, F.col("north") + widest)).alias("_cy"), (F.col("west") - widest / stretch).alias("_w"), (F.col("east") + widest / stretch).alias("_e"))
-    tiles = tiles.select("zone", "_cy", F.explode(cells(F.col("_w"), F.col("_e"))).alias("_cx"))
-    if zones.count() <= BROADCAST_ZONES:
-        tiles = F.broadcast(tiles)
+    bounds = zones.select("zone_id", "south", "north", "west", "east", cells(F.col("south") - widest, F.col("north") + widest).alias("_rows"), cells(F.col("west") - widest / stretch, F.col("east") + widest / stretch).alias("_columns"), F.size("edges").alias("_edges"))
+    n_tiles, n_edges = bounds.agg(F.coalesce(F.sum(F.size("_rows") * F.size("_columns")), F.lit(0)), F.coalesce(F.sum("_edges"), F.lit(0))).first()
+    tiles = bounds.select(F.struct("zone_id", "south", "north", "west", "east").alias("_z"), F.explode("_rows").alias("_cy"), "_columns").select("_z", "_cy", F.explode("_columns").alias("_cx"))
+    shapes = zones.select(F.col("zone_id").alias("_zone_id"), F.struct(*zones.columns).alias("zone"))
+    tiles = F.broadcast(tiles) if n_tiles <= BROADCAST_TILES else tiles
+    shapes = F.broadcast(shapes) if n_edges <= BROADCAST_EDGES else shapes
     df = states.withColumns({"uncertainty_nm": uncertainty_nm(cfg), "_s": F.monotonically_increasing_id(), "_y": geo.cell(F.col("lat"), CELL), "_x": geo.cell(F.col("lon"), CELL)})
     dy = F.col("uncertainty_nm") / 60
     dx = dy / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
-    z = F.col("zone")
+    z = F.col("_z")
     near = F.col("lat").between(z["south"] - dy, z["north"] + dy) & F.col("lon").between(z["west"] - dx, z["east"] + dx)
-    return df.join(tiles, (F.col("_y") == F.col("_cy")) & (F.col("_x") == F.col("_cx")) & near, "left").drop("_y", "_x", "_cy", "_cx")
+    found = df.join(tiles, (F.col("_y") == F.col("_cy")) & (F.col("_x") == F.col("_cx")) & near, "left").drop("_y", "_x", "_cy", "_cx")
+    return found.join(shapes, F.col("_z.zone_id") == F.col("_zone_id"), "left").drop("_z", "_zone_id")
 
 
 def horizontal(df: DataFrame) -> DataFrame:

@@ -58,12 +58,16 @@ def proximity(slots: DataFrame, version: str = "1") -> DataFrame:
 def airspace(episodes: DataFrame, version: str = "1") -> DataFrame:
     """The zone is a second entity, so that zones that overlap give findings of their own."""
     r = F.col("representative")
-    unsure = F.filter(F.array(F.when(F.array_contains("activations", "UNKNOWN"), "activation is not known")), lambda x: x.isNotNull())
+    unsure = F.col("limitations") if "limitations" in episodes.columns else F.filter(F.array(F.when(F.array_contains("activations", "UNKNOWN"), "activation is not known")), lambda x: x.isNotNull())
+    later = F.create_map(F.lit("zone_id"), F.col("zone_id"), F.lit("hits"), F.col("hits").cast("string"))
+    if "facts" in episodes.columns:
+        seconds = lambda x: ((F.unix_micros(x["at"]) - F.unix_micros("start_at")) / 1e6).cast("long").cast("string")
+        later = F.map_concat(later, F.map_from_entries(F.transform("facts", lambda x: F.struct(F.concat(F.lit("first_seen_s:"), x["what"]), seconds(x)))))
     return assembled(
         episodes, detector_id=F.lit("no_fly_zone"), detector_version=F.lit(version), detection_type=F.lit("restricted_airspace_incursion"), scope=F.lit("event"), entity_ids=F.array(F.concat(F.lit("icao24:"), "icao24"), F.concat(F.lit("zone:"), "zone_id")),
         severity=r["severity"], score=r["score"], confidence=F.col("confidence"), start_at=F.col("start_at"), end_at=F.col("end_at"), latitude=r["lat"], longitude=r["lon"],
         evidence=_evidence(F.lit("incursion"), F.format_string("%d reports inside, peak score %.2f", F.col("hits"), F.col("peak.score")), F.col("peak.score"), F.lit(None), F.lit(None)), limitations=unsure, tags=F.array(F.col("zone_id")),
-        metadata=F.create_map(F.lit("zone_id"), F.col("zone_id"), F.lit("hits"), F.col("hits").cast("string")),
+        metadata=later,
     )
 
 

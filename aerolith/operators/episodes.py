@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.config import Airspace, Spoofing
 from aerolith.functions import geo
 
+# fixed values: names of the context signals
+SIGNALS = ("emergency_squawk", "atc_discrete_squawk", "lifeguard_callsign", "military_hex")
+
 
 def consolidate(events: DataFrame, cfg: Spoofing, *by: str) -> DataFrame:
     """Events of one rule, aircraft and segment whose gaps are at most ``episode_gap_s``: the most extreme one, with the
@@ -49,8 +52,11 @@ def incursions(hits: DataFrame, cfg: Airspace) -> DataFrame:
     df = df.withColumn("_c", F.max("confidence").over(in_run) * ramp)
     peak = F.struct("score", (-F.col("rn")).alias("o"))
     whole = F.struct("severity_rank", "score", (-F.col("rn")).alias("o"))
-    row = F.struct("timestamp", "lat", "lon", "score", "severity", "altitude_ft", "activation")
-    return df.groupBy("icao24", "zone_id", "episode").agg(
+    told = [c for c in ("signals",) if c in hits.columns]
+    row = F.struct("timestamp", "lat", "lon", "score", "severity", "altitude_ft", "activation", *told)
+    more = _first_times() if {"signals", "inside", "preferred_source"} <= set(hits.columns) else []
+    found = df.groupBy("icao24", "zone_id", "episode").agg(
+        *more,
         F.min("timestamp").alias("start_at"),
         F.max("timestamp").alias("end_at"),
         F.count("*").alias("hits"),
@@ -59,6 +65,31 @@ def incursions(hits: DataFrame, cfg: Airspace) -> DataFrame:
         F.max_by(row, whole).alias("representative"),
         F.array_sort(F.collect_set("activation")).alias("activations"),
     )
+    return _told(found) if more else found
+
+
+def _limitations() -> dict[str, Column]:
+    """What makes a finding weaker, by what hits say."""
+    return {"activation is not known": F.col("activation") != "ACTIVE", "position is within its uncertainty only": ~F.col("inside"), "altitude is of the other source": ~F.col("preferred_source")}
+
+
+def _first_times() -> list[Column]:
+    """When each signal, and each limitation, was first there: a column for each, so nothing is gathered."""
+    signals = [F.min(F.when(F.array_contains("signals", s), F.col("timestamp"))).alias(f"_signal_{k}") for k, s in enumerate(SIGNALS)]
+    return signals + [F.min(F.when(c, F.col("timestamp"))).alias(f"_limit_{k}") for k, c in enumerate(_limitations().values())]
+
+
+def _told(found: DataFrame) -> DataFrame:
+    """Adds ``facts``, signals that the representative report does not show with the time of the first, and ``limitations`` in the
+    order in which they first held."""
+
+    def listed(names, prefix: str) -> Column:
+        given = F.array(*(F.when(F.col(f"{prefix}{k}").isNotNull(), F.struct(F.col(f"{prefix}{k}").alias("at"), F.lit(n).alias("what"))) for k, n in enumerate(names)))
+        return F.array_sort(F.filter(given, lambda x: x.isNotNull()))
+
+    facts = F.filter(listed(SIGNALS, "_signal_"), lambda x: ~F.array_contains("representative.signals", x["what"]))
+    out = found.withColumns({"facts": facts, "limitations": F.transform(listed(_limitations(), "_limit_"), lambda x: x["what"])})
+    return out.drop(*(f"_signal_{k}" for k in range(len(SIGNALS))), *(f"_limit_{k}" for k in range(len(_limitations()))))
 
 
 def first_seen(hits: DataFrame, *by: str, facts: str = "signals") -> DataFrame:

@@ -228,6 +228,25 @@ def nfz_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("icao24", "zone_id", us("start_at").alias("start_us"), us("end_at").alias("end_us"), "hits", base.r3("confidence").alias("confidence"), base.r3("peak.score").alias("peak_score"), us("peak.timestamp").alias("peak_us"), F.col("representative.severity").alias("severity"))
 
 
+_FACTS = f"[CASE WHEN {_EMERG} THEN 'emergency_squawk' END, CASE WHEN {_DISC} THEN 'atc_discrete_squawk' END, CASE WHEN {_MIL} THEN 'military_hex' END]"
+_LIMITS = "[CASE WHEN act <> 'ACTIVE' THEN 'activation is not known' END, CASE WHEN NOT inside THEN 'position is within its uncertainty only' END, CASE WHEN NOT preferred THEN 'altitude is of the other source' END]"
+
+
+@query(
+    f"WITH {EPISODES}, rep AS (SELECT icao24, zone_id, episode, list_filter({_FACTS}, lambda x: x IS NOT NULL) AS shown FROM c QUALIFY row_number() OVER (PARTITION BY icao24, zone_id, episode ORDER BY severity_rank DESC, score DESC, rn) = 1), "
+    f"f AS (SELECT icao24, zone_id, episode, fact, min(us) AS us FROM (SELECT icao24, zone_id, episode, us, unnest({_FACTS}) AS fact FROM c) WHERE fact IS NOT NULL GROUP BY ALL), "
+    f"l AS (SELECT icao24, zone_id, episode, what, min(us) AS us FROM (SELECT icao24, zone_id, episode, us, unnest({_LIMITS}) AS what FROM c) WHERE what IS NOT NULL GROUP BY ALL), "
+    "fs AS (SELECT icao24, zone_id, episode, string_agg(fact || ':' || (f.us - start_us) // 1000000, ',' ORDER BY f.us, fact) AS facts FROM f JOIN rep USING (icao24, zone_id, episode) JOIN ep USING (icao24, zone_id, episode) WHERE NOT list_contains(shown, fact) GROUP BY ALL), "
+    "ls AS (SELECT icao24, zone_id, episode, string_agg(what, ',' ORDER BY us, what) AS limitations FROM l GROUP BY ALL) "
+    "SELECT icao24, zone_id, start_us, coalesce(facts, '') AS facts, coalesce(limitations, '') AS limitations FROM ep LEFT JOIN fs USING (icao24, zone_id, episode) LEFT JOIN ls USING (icao24, zone_id, episode)"
+)
+def episode_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an episode's findings say beside the representative report: later signals by seconds after entry, and merged limitations."""
+    e = episodes.incursions(airspace.hits(_evaluated(spark, sf_dir), A), A)
+    seconds = lambda x: F.floor((F.unix_micros(x["at"]) - us("start_at")) / 1_000_000).cast("string")
+    return e.select("icao24", "zone_id", us("start_at").alias("start_us"), F.array_join(F.transform("facts", lambda x: F.concat(x["what"], F.lit(":"), seconds(x))), ",").alias("facts"), F.array_join("limitations", ",").alias("limitations"))
+
+
 @query(
     f"WITH {OBS}, s AS (SELECT seq, us, icao24, unnest([CASE WHEN {_EMERG} THEN 'emergency_squawk' END, CASE WHEN {_DISC} THEN 'atc_discrete_squawk' END, CASE WHEN {_MIL} THEN 'military_hex' END]) AS fact FROM obs) "
     "SELECT icao24, fact, min(us) AS first_us, count(*) AS times FROM s WHERE fact IS NOT NULL GROUP BY icao24, fact"
