@@ -34,12 +34,15 @@ SEVERITY_RANK = {"INFO": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 EXIT_DEPTH = {"on_ground": 0, "no_candidate": 1, "horizontal_clear": 2, "bad_input": 3, "vertical_clear": 4, "zone_inactive": 5, "detection": 6}
 
 
+def _literal(x) -> str:
+    return f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else repr(x)
+
+
 def lookup(key: Column, table: dict) -> Column:
-    """The table's value, or null."""
-    out = F.lit(None)
-    for k, v in table.items():
-        out = F.when(key == k, F.lit(v)).otherwise(out)
-    return out
+    """The table's value, or null: one constant map, whatever its length."""
+    pairs = ", ".join(f"{_literal(k)}, {_literal(x)}" for k, x in table.items())
+    whole = all(isinstance(k, int) for k in table)
+    return F.try_element_at(F.expr(f"map({pairs})"), key.cast("int") if whole else key)
 
 
 def rc_to_nic(rc: Column) -> Column:

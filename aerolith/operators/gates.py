@@ -12,7 +12,7 @@ from aerolith.functions import geo
 from aerolith.functions import values as v
 from aerolith.functions.scoring import fix_quality
 from aerolith.functions.tables import NACP_EPU_M, lookup
-from aerolith.operators.tracks import track
+from aerolith.operators.tracks import altitude_quantum, track, with_segments
 
 EVENT = ("gate", "icao24", "segment_id", "start_at", "end_at", "dt_s", "measured", "threshold", "unit", "n_reports", "quality")
 
@@ -31,24 +31,27 @@ def speed_limit_kt(cfg: Spoofing) -> Column:
 
 def pair_gates(features: DataFrame, cfg: Spoofing, *by: str) -> DataFrame:
     """Teleport, turn rate, speed and climb contradictions, of features with ``quantum_ft`` (null: the usual step)."""
-    long = F.col("dt_s") >= cfg.min_dt_s
     speed = F.col("implied_speed_kt") - position_error_kt(cfg)
     quantisation = F.coalesce("quantum_ft", F.lit(cfg.altitude_quantum_ft)) * 2 * 60 / F.col("dt_s")
-    climb = F.abs("climb_delta_fpm") - quantisation
-
-    def hit(gate: str, when: Column, measured: Column, threshold: Column, unit: str) -> Column:
-        return F.when(long & when, F.struct(F.lit(gate).alias("gate"), measured.cast("double").alias("measured"), threshold.cast("double").alias("threshold"), F.lit(unit).alias("unit")))
-
-    hits = F.array(
-        hit("teleport_v1", speed > cfg.teleport_kt, speed, F.lit(cfg.teleport_kt), "kt"),
-        hit("turn_rate_v1", (F.abs("ground_speed_kt") >= cfg.turn_rate_min_speed_kt) & (F.abs("turn_rate_dps") > cfg.turn_rate_dps), F.col("turn_rate_dps"), F.lit(cfg.turn_rate_dps), "deg/s"),
-        hit("speed_delta_v1", F.col("ground_speed_kt").isNotNull() & (F.abs("speed_delta_kt") > speed_limit_kt(cfg)), F.col("speed_delta_kt"), speed_limit_kt(cfg), "kt"),
-        hit("vrate_delta_v1", (F.abs("vertical_rate_fpm") <= cfg.vrate_max_plausible_fpm) & (climb > cfg.vrate_delta_fpm), climb, F.lit(cfg.vrate_delta_fpm), "fpm"),
-    )
     quality = fix_quality(F.col("p.nic"), F.col("nic"), F.col("p.nacp"), F.col("nacp"))
+    # what is measured is worked out once for each pair, then tested
+    measured = {"_speed": speed, "_limit": speed_limit_kt(cfg), "_climb": F.abs("climb_delta_fpm") - quantisation, "_quality": quality, "_start": F.col("p.observed_at")}
+    pairs = features.where(F.col("dt_s") >= cfg.min_dt_s).withColumns(measured)
+
+    def hit(gate: str, when: str, value: str, threshold: str, unit: str) -> str:
+        return f"if({when}, named_struct('gate', '{gate}', 'measured', cast({value} as double), 'threshold', cast({threshold} as double), 'unit', '{unit}'), null)"
+
+    hits = ", ".join(
+        [
+            hit("teleport_v1", f"_speed > {cfg.teleport_kt}D", "_speed", f"{cfg.teleport_kt}D", "kt"),
+            hit("turn_rate_v1", f"abs(ground_speed_kt) >= {cfg.turn_rate_min_speed_kt}D and abs(turn_rate_dps) > {cfg.turn_rate_dps}D", "turn_rate_dps", f"{cfg.turn_rate_dps}D", "deg/s"),
+            hit("speed_delta_v1", "ground_speed_kt is not null and abs(speed_delta_kt) > _limit", "speed_delta_kt", "_limit", "kt"),
+            hit("vrate_delta_v1", f"abs(vertical_rate_fpm) <= {cfg.vrate_max_plausible_fpm}D and _climb > {cfg.vrate_delta_fpm}D", "_climb", f"{cfg.vrate_delta_fpm}D", "fpm"),
+        ]
+    )
     # one pass over the pairs: the hits of each are exploded, not tested in four scans
-    found = features.withColumn("h", F.explode(F.filter(hits, lambda x: x.isNotNull())))
-    return found.select(*by, "h.gate", "icao24", "segment_id", F.col("p.observed_at").alias("start_at"), F.col("observed_at").alias("end_at"), "dt_s", "h.measured", "h.threshold", "h.unit", F.lit(2).cast("long").alias("n_reports"), quality.alias("quality"))
+    found = pairs.withColumn("h", F.explode(F.expr(f"array({hits})"))).where("h is not null")
+    return found.select(*by, "h.gate", "icao24", "segment_id", F.col("_start").alias("start_at"), F.col("observed_at").alias("end_at"), "dt_s", "h.measured", "h.threshold", "h.unit", F.lit(2).cast("long").alias("n_reports"), F.col("_quality").alias("quality"))
 
 
 def _event(gate: str, by: tuple[str, ...], *, segment: Column, start: Column, end: Column, dt: Column, measured: Column, threshold: float | Column, unit: str | None, n: Column, quality: Column | None = None) -> list:
@@ -183,14 +186,79 @@ def subterrain(obs: DataFrame, elevation: Column) -> DataFrame:
     return obs.withColumn("depth_ft", elevation - F.col("altitude_ft")).where("depth_ft > 0")
 
 
+# fixed values: units of what the rules measure
+_UNITS = {"teleport_v1": "kt", "turn_rate_v1": "deg/s", "speed_delta_v1": "kt", "vrate_delta_v1": "fpm", "nic_floor_v1": "s", "pingpong_v1": "hops", "reappear_v1": "nm"}
+
+
+def track_events(obs: DataFrame, cfg: Spoofing, *by: str) -> DataFrame:
+    """The events of the rules on consecutive reports, of integrity, of to and fro, and of reappearance, in one pass.
+
+    A track is shuffled and sorted once; its windows follow one another on that order.  Every report states what it adds to
+    any rule, and one aggregation, which the same partitioning serves, makes hits and runs of it."""
+    w, upto = track(*by), track(*by).rowsBetween(Window.unboundedPreceding, 0)
+    carried = ("observed_at", "latitude", "longitude", "altitude_ft", "track_deg", "nic", "nacp")
+    df = obs.select(*by, "icao24", "seq", "ground_speed_kt", "vertical_rate_fpm", *carried)
+    df = df.withColumns({"p": F.lag(F.struct(*carried)).over(w), "row": F.row_number().over(w).cast("long")})
+    x, y = geo.local_xy(F.col("latitude"), F.col("longitude"), F.col("p.latitude"), F.col("p.longitude"))
+    moved = geo.haversine_m(F.col("p.latitude"), F.col("p.longitude"), F.col("latitude"), F.col("longitude"))
+    df = df.withColumns({"dt_s": geo.elapsed(F.col("p.observed_at"), F.col("observed_at")), "x": x, "y": y, "distance_m": moved})
+    low = F.coalesce(F.col("nic") <= cfg.nic_floor, F.lit(False))
+    df = df.withColumns({"broken": F.coalesce(F.col("dt_s") > cfg.max_gap_s, F.lit(False)), "low": low, "impossible": F.when(F.col("dt_s") > 0, F.col("distance_m") / F.col("dt_s") > cfg.pingpong_speed_mps).otherwise(F.col("distance_m") > 1)})
+    df = df.withColumns(
+        {
+            "segment_id": F.sum(F.when(F.col("broken"), 1).otherwise(0)).over(upto).cast("int"),
+            "low_run": F.sum(F.when(F.col("low"), 0).otherwise(1)).over(upto),
+            "l": F.lag(F.struct("x", "y", "impossible")).over(w),
+        }
+    )
+    cos = (F.col("x") * F.col("l.x") + F.col("y") * F.col("l.y")) / F.nullif(F.hypot("x", "y") * F.hypot("l.x", "l.y"), F.lit(0.0))
+    flips = F.coalesce(F.col("impossible") & F.col("l.impossible") & (cos <= -cfg.pingpong_reversal_cos), F.lit(False))
+    df = df.withColumn("chain", F.sum(F.when(flips, 0).otherwise(1)).over(upto))
+    df = df.withColumn("pair", F.col("p").isNotNull() & ~F.col("broken") & (F.col("dt_s") >= max(cfg.min_dt_s, 1e-9)))
+    implied, climb = F.col("distance_m") / F.col("dt_s") * geo.KT_PER_MPS, (F.col("altitude_ft") - F.col("p.altitude_ft")) / F.col("dt_s") * 60
+    paired = {"implied_kt": implied, "_over": implied - position_error_kt(cfg), "_limit": speed_limit_kt(cfg), "_climb": F.abs(climb - F.col("vertical_rate_fpm")), "_turn": geo.heading_delta(F.col("p.track_deg"), F.col("track_deg")) / F.col("dt_s"), "_quality": fix_quality(F.col("p.nic"), F.col("nic"), F.col("p.nacp"), F.col("nacp"))}
+    df = df.withColumns({c: F.when(F.col("pair"), e) for c, e in paired.items()})
+    df = df.withColumns({"_slip": F.col("implied_kt") - F.col("ground_speed_kt"), "_start": F.col("p.observed_at")})
+
+    def fact(gate: str, when: str, *, run: str = "row", segment: str = "segment_id", start: str = "_start", dt: str = "null", measured: str = "null", threshold: str = "null", quality: str = "1D") -> str:
+        parts = {"gate": f"'{gate}'", "segment_id": f"cast({segment} as int)", "run": f"cast({run} as bigint)", "start_at": start, "end_at": "observed_at", "dt_s": f"cast({dt} as double)", "measured": f"cast({measured} as double)", "threshold": f"cast({threshold} as double)", "quality": quality}
+        return f"if({when}, named_struct({', '.join(f'{n!r}, {x}' for n, x in parts.items())}), null)"
+
+    of_pair = {"dt": "dt_s", "quality": "_quality"}
+    facts = [
+        fact("teleport_v1", f"_over > {cfg.teleport_kt}D", measured="_over", threshold=f"{cfg.teleport_kt}D", **of_pair),
+        fact("turn_rate_v1", f"abs(ground_speed_kt) >= {cfg.turn_rate_min_speed_kt}D and abs(_turn) > {cfg.turn_rate_dps}D", measured="_turn", threshold=f"{cfg.turn_rate_dps}D", **of_pair),
+        fact("speed_delta_v1", "abs(_slip) > _limit", measured="_slip", threshold="_limit", **of_pair),
+        # what the steps of the altitude explain comes off below
+        fact("vrate_delta_v1", f"abs(vertical_rate_fpm) <= {cfg.vrate_max_plausible_fpm}D and _climb > {cfg.vrate_delta_fpm}D", measured="_climb", threshold=f"{cfg.vrate_delta_fpm}D", **of_pair),
+        fact("nic_floor_v1", "low", run="low_run", start="observed_at"),
+        fact("pingpong_v1", "p is not null and impossible", run="chain", segment="null"),
+        fact("reappear_v1", f"broken and distance_m > dt_s * {cfg.reappear_speed_mps}D", measured=f"distance_m / {geo.M_PER_NM}D", threshold=f"dt_s * {cfg.teleport_kt / 3600}D"),
+    ]
+    stated = df.withColumn("f", F.explode(F.expr(f"array({', '.join(facts)})"))).where("f is not null").select(*by, "icao24", "f.*")
+    most = [F.max(c).alias(c) for c in ("end_at", "dt_s", "measured", "threshold", "quality")]  # a hit is a group of one
+    found = stated.groupBy(*by, "icao24", "gate", "segment_id", "run").agg(F.count("*").alias("n"), F.min("start_at").alias("start_at"), *most)
+
+    steps = altitude_quantum(with_segments(obs.select(*by, "icao24", "observed_at", "altitude_ft", "seq"), cfg.max_gap_s, *by), cfg, *by).drop("n")
+    found = found.join(steps, [*by, "icao24", "segment_id"], "left")
+    is_ = lambda g: F.col("gate") == g
+    span = geo.elapsed(F.col("start_at"), F.col("end_at"))
+    explained = F.coalesce("quantum_ft", F.lit(cfg.altitude_quantum_ft)) * 2 * 60 / F.col("dt_s")
+    measured = F.when(is_("vrate_delta_v1"), F.col("measured") - explained).when(is_("nic_floor_v1"), span).when(is_("pingpong_v1"), F.col("n").cast("double")).otherwise(F.col("measured"))
+    threshold = F.when(is_("nic_floor_v1"), cfg.nic_min_duration_s).when(is_("pingpong_v1"), float(cfg.pingpong_min_hops)).otherwise(F.col("threshold"))
+    found = found.withColumns({"measured": measured, "threshold": threshold})
+    enough = F.when(is_("vrate_delta_v1"), F.col("measured") > cfg.vrate_delta_fpm).when(is_("nic_floor_v1"), (F.col("n") >= 2) & (F.col("measured") >= cfg.nic_min_duration_s)).when(is_("pingpong_v1"), F.col("n") >= cfg.pingpong_min_hops).otherwise(True)
+    # of runs the greatest counts, the first of equals; of hits each
+    runs = is_("nic_floor_v1") | is_("pingpong_v1")
+    place = F.row_number().over(Window.partitionBy(*by, "icao24", "gate", "segment_id").orderBy(F.when(runs, -F.col("measured")), F.when(is_("nic_floor_v1"), F.col("start_at")), "run"))
+    found = found.where(enough).withColumn("_place", place).where(~runs | (F.col("_place") == 1))
+    n = F.when(is_("nic_floor_v1"), F.col("n")).when(is_("pingpong_v1"), F.col("n") + 1).otherwise(2)
+    return found.select(*by, "gate", "icao24", "segment_id", "start_at", "end_at", "dt_s", "measured", "threshold", lookup(F.col("gate"), _UNITS).alias("unit"), n.cast("long").alias("n_reports"), "quality")
+
+
 def spoofing_events(obs: DataFrame, cfg: Spoofing, *by: str, registry: DataFrame | None = None) -> DataFrame:
     """The events of every rule."""
-    from aerolith.operators.tracks import altitude_quantum, pair_features, with_segments
-
-    segmented = with_segments(obs, cfg.max_gap_s, *by)
-    quantum = altitude_quantum(segmented, cfg, *by).drop("n")
-    features = pair_features(segmented, *by).join(quantum, [*by, "icao24", "segment_id"], "left")
-    parts = [pair_gates(features, cfg, *by), nic_floor(segmented, cfg, *by), pingpong(obs, cfg, *by), coexistence(obs, cfg, *by), reappearance(segmented, cfg, *by), identity_drift(obs, cfg, *by).drop("seen")]
+    parts = [track_events(obs, cfg, *by), coexistence(obs, cfg, *by), identity_drift(obs, cfg, *by).drop("seen")]
     if registry is not None:
         parts.append(registry_mismatch(obs, registry, cfg, *by))
     out = parts[0]
