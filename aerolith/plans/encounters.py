@@ -11,6 +11,7 @@ from aerolith.operators import airspace, episodes, observations, proximity, repo
 from aerolith.plans import base
 from aerolith.plans.base import AIRSPACE, PROXIMITY
 from aerolith.plans.tracking import OBS, case, hav, pmod, r3, us
+from aerolith.schema import RECURRING
 
 P, A = PROXIMITY, AIRSPACE
 QUERIES: dict = {}
@@ -293,3 +294,38 @@ def solar_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = base.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("name"), F.col("o_custkey").cast("string").alias("k"))
     return reports.unique_ids(o, "k", "o_orderkey").drop("k")
+
+
+_LOCAL = "(ts - INTERVAL 5 HOUR)"  # of New York in January, where all events lie
+
+
+def _recurring(**fields: str) -> str:
+    """SQL: one recurring window."""
+    return "named_struct(" + ", ".join(f"'{f.name}', cast({fields.get(f.name, 'null')} as {f.dataType.simpleString()})" for f in RECURRING.fields) + ")"
+
+
+def _scheduled(zone_id: str, zone: str, within: bool, **fields: str) -> str:
+    """SQL: what activation reads of a zone."""
+    return f"named_struct('zone_id', '{zone_id}', 'activation', 'SCHEDULED', 'active_windows', cast(array() as array<struct<start:timestamp,end:timestamp>>), 'recurring_windows', array({_recurring(**fields)}), 'schedule_timezone', '{zone}', 'unknown_within_schedule', {str(within).lower()}, 'unknown_outside_schedule', false)"
+
+
+@query(
+    f"""WITH t AS (SELECT ts, {_LOCAL} AS local, date_trunc('day', {_LOCAL}) AS day, dayofyear({_LOCAL}) AS own FROM events),
+days AS (SELECT DISTINCT dayofyear({_LOCAL})::DOUBLE AS doy FROM events),
+{_sun_sql()},
+sun AS (SELECT CAST(rise5.doy AS INTEGER) AS doy, rise5.h AS rise, sunset5.h AS sunset FROM rise5 JOIN sunset5 USING (doy)),
+a AS (SELECT 'night' AS zone_id, CASE WHEN hour(ts) >= 22 AND strftime(ts, '%m-%d') <= '01-10' THEN 'ACTIVE' ELSE 'INACTIVE' END AS activation FROM t
+UNION ALL SELECT 'daylight', CASE WHEN epoch(local) - epoch(day) >= (rise - 5) * 3600 AND epoch(local) - epoch(day) < (sunset - 5) * 3600 THEN 'UNKNOWN' ELSE 'INACTIVE' END FROM t JOIN sun ON doy = own
+UNION ALL SELECT 'weekend', CASE WHEN isodow(local) >= 6 THEN 'ACTIVE' ELSE 'INACTIVE' END FROM t)
+SELECT zone_id, activation, count(*) AS reports FROM a GROUP BY ALL"""
+)
+def schedule_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours past midnight in a season past the new year, daylight of another time zone, and whole days of its weekend."""
+    zones = [
+        _scheduled("night", "UTC", False, start_time="'22:00'", end_time="'06:00'", start_month_day="'12-15'", end_month_day="'01-10'"),
+        _scheduled("daylight", "America/New_York", True, start_sunrise="true", end_sunset="true"),
+        _scheduled("weekend", "America/New_York", False, all_day="true", weekdays="array(5, 6)"),
+    ]
+    at, lat, lon = F.col("ts").cast("timestamp"), F.lit(37.3267), F.lit(-79.2004)
+    states = F.array(*(F.struct(F.expr(z)["zone_id"].alias("zone_id"), schedule.activation(F.expr(z), at, lat, lon).alias("activation")) for z in zones))
+    return base.table(spark, sf_dir, "events").select(F.explode(states).alias("s")).select("s.*").groupBy("zone_id", "activation").agg(F.count("*").alias("reports"))

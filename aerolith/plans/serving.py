@@ -313,6 +313,25 @@ def detection_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("detector_id", "detection_type", F.array_join("entity_ids", ",").alias("entities"), us("start_at").alias("start_us"), "severity")
 
 
+_UNIT = "CASE gate WHEN 'teleport_v1' THEN 'kt' WHEN 'speed_delta_v1' THEN 'kt' WHEN 'turn_rate_v1' THEN 'deg/s' WHEN 'vrate_delta_v1' THEN 'fpm' WHEN 'nic_floor_v1' THEN 's' WHEN 'pingpong_v1' THEN 'hops' WHEN 'reappear_v1' THEN 'nm' WHEN 'coexistence_v1' THEN 'km' END"
+_WEAK = "array_to_string(list_filter([CASE WHEN n_reports < 3 THEN 'fewer than three reports' END, CASE WHEN quality < 1 THEN 'stated position quality is below best' END, CASE WHEN measured IS NULL THEN 'not measured' END], lambda x: x IS NOT NULL), ',')"
+
+
+@query(
+    f"SELECT detector_id, detection_type, entity, start_us, kind, {r3('measured')} AS measured, {r3('threshold')} AS threshold, unit, limitations, tags, hits FROM (WITH {SCORED} SELECT 'spoofing' AS detector_id, {tracking.case('gate', tracking.GATE_TYPE)} AS detection_type, 'aircraft:' || icao24 AS entity, start_us, gate AS kind, measured, threshold, {_UNIT} AS unit, {_WEAK} AS limitations, gate AS tags, hits::VARCHAR AS hits FROM detections WHERE NOT abstains) "
+    f"UNION ALL SELECT * FROM (WITH {OBS} SELECT 'example_altitude', 'altitude_out_of_band', 'aircraft:' || icao24, us, CASE WHEN altitude_ft < {base.ALTITUDE.floor_ft} THEN 'BELOW_FLOOR' ELSE 'ABOVE_CEILING' END AS k, {r3('altitude_ft')}, NULL, 'ft', NULL, k, NULL FROM obs WHERE {_EXC} > 0)"
+)
+def detection_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What findings are made of: evidence, limitations, tags and metadata."""
+    o = base.obs(spark, sf_dir)
+    d = detectors.run(o, [detectors.build("spoofing", cfg=C, registry=base.registry(spark, sf_dir)), detectors.build("example_altitude", cfg=base.ALTITUDE)])
+    e = F.get("evidence", F.lit(0))
+    return d.select(
+        "detector_id", "detection_type", F.get("entity_ids", F.lit(0)).alias("entity"), us("start_at").alias("start_us"), e["kind"].alias("kind"), base.r3(e["measured"]).alias("measured"), base.r3(e["threshold"]).alias("threshold"), e["unit"].alias("unit"),
+        F.array_join("limitations", ",").alias("limitations"), F.array_join("tags", ",").alias("tags"), F.try_element_at("metadata", F.lit("hits")).alias("hits"),
+    )
+
+
 # --- detectors window by window
 
 

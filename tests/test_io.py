@@ -183,6 +183,8 @@ def test_upsert_and_inserts_are_idempotent(spark, tmp_path):
     stored = sinks.VersionedTable(spark, str(tmp_path / "o"), obs.schema)
     key = ("source_id", "raw_record_ref", "observed_at")
     assert [stored.insert_new(obs, *key), stored.insert_new(obs.unionByName(obs), *key)] == [5, 0]
+    assert sinks.load(stored, observations.to_storage(gen.clean_track(spark, "abc125", points=9), "s"), *key, limit=3) == 3
+    assert sinks.load(stored, obs.unionByName(obs), *key, truncate=True) == 5
     back = observations.from_storage(stored.read())
     assert back.count() == 5 and back.where("altitude_ft = 33000 and callsign = 'TEST123'").count() == 5
 
