@@ -9,7 +9,8 @@ place has one reading, itself.  The words of the text and of the readings, and
 their beginnings, are features of a logistic regression.
 
 The regression learns from at most about ``LABELS`` labelled rows, chosen by a
-hash of their id (its documented bound); the trigram counts cover every text.
+hash of their id (its documented bound), from at most ``MOST_FEATURES`` features chosen of
+the ``CANDIDATES`` most frequent ones of toxic texts; the trigram counts cover every text.
 A null text scores as an empty one: the intercept.  Without labels of both
 kinds every score is 0.  If an id has several labels, the highest counts; null
 labels and ids count as none.  Repeated rows are scored alike; of readings that are
@@ -34,6 +35,8 @@ from aerolith.llm.ngram_join import _sum_arrays
 
 LABELS = 20_000
 MOST_FEATURES = 4_000
+#: features of toxic texts that are counted, the most frequent first
+CANDIDATES = 1 << 20
 PREFIXES = (4, 6, 8)
 _PREFIX_SALT = {n: np.uint64(0x632BE59BD9B4E019 * n & (1 << 64) - 1) for n in PREFIXES}
 
@@ -327,7 +330,7 @@ def _per_row(docs: DataFrame, make_features, fields) -> DataFrame:
 _LONGS = [T.StructField("features", T.ArrayType(T.LongType()))]
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labels: int = LABELS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labels: int = LABELS, most_candidates: int = CANDIDATES) -> Model:
     """Character counts from all of ``docs``, weights from ``labels`` (id, 0 or 1)."""
     spark = docs.sparkSession
     model = Model(CharacterModel(trigram_counts(docs, text_col)))
@@ -349,13 +352,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
         return read
 
-    # bounded by ``most_labels``, as is the last read
-    found = _per_row(sample, of_toxic, _LONGS).where("label = 1").toArrow()["features"].combine_chunks()
-    toxic = [x.values.to_numpy().view(np.uint64) for x in found]
-    if not toxic:
+    n_toxic = sample.where("label = 1").count()
+    if not n_toxic:
         return model
-    table, n = np.unique(np.concatenate(toxic), return_counts=True)
-    table = table[n >= min(3, len(toxic))]
+    # features of at least three toxic texts; the number that comes to the driver is bounded, however long the texts are
+    found = _per_row(sample, of_toxic, _LONGS).where("label = 1").select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+    found = found.where(F.col("n") >= min(3, n_toxic)).orderBy(F.desc("n"), "feature").limit(most_candidates)
+    table = np.sort(found.select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
     if not len(table):
         table = np.zeros(1, dtype=np.uint64)
     candidates = spark.sparkContext.broadcast(table)
