@@ -13,10 +13,10 @@ from aerolith.schema import DETECTION
 ENTITY_GATES = ("coexistence_v1", "pingpong_v1", "identity_drift_v1")
 
 
-def assembled(df: DataFrame, **columns: Column) -> DataFrame:
-    """Rows of DETECTION; columns not given are null.  Of rows made window by window, ``window_start`` stays."""
+def assembled(df: DataFrame, *extra: str, **columns: Column) -> DataFrame:
+    """Rows of DETECTION; columns not given are null.  Of rows made window by window, ``window_start`` stays, as do ``extra`` columns."""
     window = ["window_start"] if "window_start" in df.columns else []
-    return df.select(*(columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DETECTION.fields), *window)
+    return df.select(*(columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DETECTION.fields), *window, *extra)
 
 
 def _evidence(kind: Column, text: Column, measured: Column, threshold: Column, unit: Column) -> Column:
@@ -45,17 +45,17 @@ def altitude(rows: DataFrame, version: str = "1") -> DataFrame:
     )
 
 
-def proximity(slots: DataFrame, version: str = "1") -> DataFrame:
+def proximity(slots: DataFrame, version: str = "1", extra: tuple[str, ...] = ()) -> DataFrame:
     facts = F.format_string("predicted to pass within %.2f nm and %.0f ft in %.0f s", F.col("pred_nm"), F.col("pred_ft"), F.col("t_cpa_s"))
     pair = F.array(F.concat(F.lit("icao24:"), "icao24_a"), F.concat(F.lit("icao24:"), "icao24_b"))
     return assembled(
-        slots, detector_id=F.lit("proximity"), detector_version=F.lit(version), detection_type=F.lit("predicted_proximity"), scope=F.lit("event"), entity_ids=pair, severity=F.col("severity"), score=F.col("score"), confidence=F.col("confidence"),
+        slots, *extra, detector_id=F.lit("proximity"), detector_version=F.lit(version), detection_type=F.lit("predicted_proximity"), scope=F.lit("event"), entity_ids=pair, severity=F.col("severity"), score=F.col("score"), confidence=F.col("confidence"),
         start_at=F.col("start_at"), end_at=F.col("end_at"), latitude=F.col("latitude"), longitude=F.col("longitude"), evidence=_evidence(F.lit("cpa"), facts, F.col("pred_nm"), F.lit(None), F.lit("nm")), tags=F.array(F.lit("cpa")),
         metadata=F.create_map(F.lit("now_nm"), F.format_string("%.3f", F.col("now_nm")), F.lit("slot"), F.col("slot").cast("string")),
     )
 
 
-def airspace(episodes: DataFrame, version: str = "1") -> DataFrame:
+def airspace(episodes: DataFrame, version: str = "1", extra: tuple[str, ...] = ()) -> DataFrame:
     """The zone is a second entity, so that zones that overlap give findings of their own."""
     r = F.col("representative")
     unsure = F.col("limitations") if "limitations" in episodes.columns else F.filter(F.array(F.when(F.array_contains("activations", "UNKNOWN"), "activation is not known")), lambda x: x.isNotNull())
@@ -64,7 +64,7 @@ def airspace(episodes: DataFrame, version: str = "1") -> DataFrame:
         seconds = lambda x: ((F.unix_micros(x["at"]) - F.unix_micros("start_at")) / 1e6).cast("long").cast("string")
         later = F.map_concat(later, F.map_from_entries(F.transform("facts", lambda x: F.struct(F.concat(F.lit("first_seen_s:"), x["what"]), seconds(x)))))
     return assembled(
-        episodes, detector_id=F.lit("no_fly_zone"), detector_version=F.lit(version), detection_type=F.lit("restricted_airspace_incursion"), scope=F.lit("event"), entity_ids=F.array(F.concat(F.lit("icao24:"), "icao24"), F.concat(F.lit("zone:"), "zone_id")),
+        episodes, *extra, detector_id=F.lit("no_fly_zone"), detector_version=F.lit(version), detection_type=F.lit("restricted_airspace_incursion"), scope=F.lit("event"), entity_ids=F.array(F.concat(F.lit("icao24:"), "icao24"), F.concat(F.lit("zone:"), "zone_id")),
         severity=r["severity"], score=r["score"], confidence=F.col("confidence"), start_at=F.col("start_at"), end_at=F.col("end_at"), latitude=r["lat"], longitude=r["lon"],
         evidence=_evidence(F.lit("incursion"), F.format_string("%d reports inside, peak score %.2f", F.col("hits"), F.col("peak.score")), F.col("peak.score"), F.lit(None), F.lit(None)), limitations=unsure, tags=F.array(F.col("zone_id")),
         metadata=later,

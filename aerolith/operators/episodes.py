@@ -55,6 +55,8 @@ def incursions(hits: DataFrame, cfg: Airspace) -> DataFrame:
     told = [c for c in ("signals",) if c in hits.columns]
     row = F.struct("timestamp", "lat", "lon", "score", "severity", "altitude_ft", "activation", *told)
     more = _first_times() if {"signals", "inside", "preferred_source"} <= set(hits.columns) else []
+    if "zone_type" in hits.columns:  # one for each zone
+        more = [F.max("zone_type").alias("zone_type"), *more]
     found = df.groupBy("icao24", "zone_id", "episode").agg(
         *more,
         F.min("timestamp").alias("start_at"),
@@ -65,7 +67,7 @@ def incursions(hits: DataFrame, cfg: Airspace) -> DataFrame:
         F.max_by(row, whole).alias("representative"),
         F.array_sort(F.collect_set("activation")).alias("activations"),
     )
-    return _told(found) if more else found
+    return _told(found) if "_limit_0" in found.columns else found
 
 
 def _limitations() -> dict[str, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolith.plans import encounters, serving, sources, tracking
+from aerolith.plans import encounters, serving, sources, storage, tracking
 
-QUERIES = {**tracking.QUERIES, **encounters.QUERIES, **serving.QUERIES, **sources.QUERIES}
-SQL = {**tracking.SQL, **encounters.SQL, **serving.SQL, **sources.SQL}
+QUERIES = {**tracking.QUERIES, **encounters.QUERIES, **serving.QUERIES, **sources.QUERIES, **storage.QUERIES}
+SQL = {**tracking.SQL, **encounters.SQL, **serving.SQL, **sources.SQL, **storage.SQL}
