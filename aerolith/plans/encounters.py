@@ -94,7 +94,7 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proximity.flagged(proximity.geometry(proximity.candidate_pairs(_grid(spark, sf_dir), P)), P)
+    return proximity.flagged(proximity.geometry(proximity.candidate_pairs(_grid(spark, sf_dir), P, near=True)), P)
 
 
 @query(f"WITH {GRID} SELECT icao24, tick, {', '.join(f'{r3(c)} AS {c}' for c in (*_LERPED, 'track_deg'))}, CAST(nic AS INTEGER) AS nic, CAST(nacp AS INTEGER) AS nacp, on_ground FROM grid")
