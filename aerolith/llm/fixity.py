@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.llm.scratch import stored
+from aerolith.sinks.shared import scratch
 
 RANGE = 1 << 16
 FAN = 16
@@ -151,8 +152,18 @@ def _rows(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
-def read_replica(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files under ``path``, plain or compressed: archive (file name), offset (of the plain bytes), length, uri, digest."""
+def write_replica(records: DataFrame, path: str) -> None:
+    """records: archive, place (order in the archive), uri, block.  A compressed WARC file of resource records for each archive,
+    in the folder ``archive=`` of its name.  An archive is one task's work, its records stream through it."""
+    header = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), "uri", F.lit("\r\nContent-Length: "), F.octet_length("block").cast("string"), F.lit("\r\n\r\n"))
+    dealt = records.repartition("archive").sortWithinPartitions("archive", "place").select("archive", F.concat(header, "block").alias("value"))
+    # the end of a record is what separates lines
+    dealt.write.partitionBy("archive").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
+
+def read_replica(spark: SparkSession, path: str, *, named: str = "([^/]+)$") -> DataFrame:
+    """Records of all WARC files under ``path``, plain or compressed: archive (what ``named`` finds in the path: the file name),
+    offset (of the plain bytes), length, uri, digest."""
     pieces = spark.read.option("lineSep", _CUT.decode()).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
     found = stored(pieces.mapInArrow(_each, _RECORD), "records")
     torn = found.where("not whole").select("path").distinct()
@@ -164,7 +175,7 @@ def read_replica(spark: SparkSession, path: str) -> DataFrame:
         ordered = pieces.withColumn("id", F.monotonically_increasing_id()).join(torn, "path", "left_semi").repartition("path").sortWithinPartitions("path", "block", "id")
         again = ordered.select("path", "block", "data").mapInArrow(_put_together, _RECORD)
         out = out.unionByName(again.withColumn("before", F.lit(0).cast("long")))
-    return out.select(F.substring_index("path", "/", -1).alias("archive"), (F.col("before") + F.col("local")).alias("offset"), "length", "uri", "digest")
+    return out.select(F.regexp_extract("path", named, 1).alias("archive"), (F.col("before") + F.col("local")).alias("offset"), "length", "uri", "digest")
 
 
 # --- trees
@@ -248,37 +259,34 @@ def audit(a: DataFrame, b: DataFrame, *, range_bytes: int = RANGE, fan: int = FA
 # --- the pages table as archives
 
 PER_ARCHIVE = 1000
-#: bytes of a record besides its block, as ``write_warc`` lays it out: 82 and the digits of the length and the address
+#: bytes of a record besides its block, its address and the digits of its length
 _FRAME = len(write_warc([("", b"")])) - 1
 
 
-def page_records(pages: DataFrame) -> DataFrame:
-    """page_id, archive, offset, length, digest of the block, and digest_b of the block as the other replica holds it
-    (see ``replicas``): 1000 pages an archive, in order of page_id."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    block = F.octet_length(html)
-    held = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.substring(html, 2, 1 << 30))).otherwise(html)
-    narrow = pages.select(
-        "page_id", F.floor(F.col("page_id") / PER_ARCHIVE).cast("string").alias("archive"), (F.lit(_FRAME) + F.length(block.cast("string")) + F.octet_length(F.coalesce("url", F.lit(""))) + block).cast("long").alias("length"),
-        F.sha2(html.cast("binary"), 256).alias("digest"), F.sha2(held.cast("binary"), 256).alias("digest_b"),
+def page_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of archives of ``PER_ARCHIVE`` pages in order, as they were, and as a damaged replica holds them: in one of 97
+    the first character was overwritten, every fourth archive lost its end, and behind every fifth lies a stray copy."""
+    html, at = F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.col("page_id"), F.lit(0)) % PER_ARCHIVE
+    archive = F.coalesce(F.floor(F.col("page_id") / PER_ARCHIVE), F.lit(-1))
+    own = pages.select(
+        archive.alias("archive"), F.struct(F.lit(0).alias("stray"), "page_id", F.sha2(html.cast("binary"), 256)).alias("place"), F.translate(F.coalesce("url", F.lit("")), "\r\n", "  ").alias("uri"), html.alias("block"),
+        ((F.col("page_id") % 97 == 13) & (F.octet_length(F.substring(html, 1, 1)) == 1)).alias("_hit"), ((archive % 4 == 1) & (at >= 990)).alias("_lost"), ((archive % 5 == 2) & (at == 3)).alias("_stray"),
     )
-    before = Window.partitionBy("archive").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return narrow.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-
-
-def replicas(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The records as they were written, and as a damaged replica holds them: in one of 97 the first character was
-    overwritten, one of 389 is lost, and behind one of 211 lies a stray copy."""
-    a = records.select("archive", "offset", "length", "digest")
-    at = F.coalesce(F.col("page_id"), F.lit(0))
-    kept = records.where(at % 389 != 7).select("archive", "offset", "length", F.col("digest_b").alias("digest"))
-    stray = records.where(at % 211 == 5).select("archive", (F.col("offset") + 1).alias("offset"), "length", F.col("digest_b").alias("digest"))
-    return a, kept.unionByName(stray)
+    columns = ["archive", "place", "uri", "block"]
+    held = own.withColumn("block", F.when(F.col("_hit"), F.concat(F.lit("#"), F.substring("block", 2, 1 << 30))).otherwise(F.col("block")))
+    stray = held.where("_stray").withColumn("place", F.struct(F.lit(1).alias("stray"), F.col("place.page_id"), F.col("place")[own.schema["place"].dataType.names[2]]))
+    return own.select(*columns), held.where(~F.col("_lost")).select(*columns).unionByName(stray.select(*columns))
 
 
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = stored(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")), "records")
-    return audit(*replicas(records), levels=LEVELS)
+    """Two replicas are written as archives, read record by record, and audited."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    sides = []
+    for name, records in zip("ab", page_replicas(pages), strict=True):
+        path = scratch(spark, f"replica-{name}")
+        write_replica(records, path)
+        sides.append(stored(read_replica(spark, path, named="archive=([^/]+)").select("archive", "offset", "length", "digest"), f"records-{name}"))
+    return audit(*sides, levels=LEVELS)
 
 
 def _oracle() -> str:
@@ -289,16 +297,20 @@ def _oracle() -> str:
 {name}{k} AS (SELECT archive, node // {FAN} AS node, sha256(string_agg(c.node || ':' || hash, chr(10) ORDER BY c.node)) AS hash FROM {name}{k - 1} c GROUP BY archive, c.node // {FAN})"""
         return out
 
+    long = f"CAST({_FRAME} + length(CAST(octet_length(encode({{0}})) AS VARCHAR)) + octet_length(encode(uri)) + octet_length(encode({{0}})) AS BIGINT)"
+    order = "PARTITION BY archive ORDER BY stray, page_id NULLS FIRST, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return f"""
-WITH n AS (SELECT page_id, CAST(page_id // {PER_ARCHIVE} AS VARCHAR) AS archive, CAST({_FRAME} + length(CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR)) + octet_length(encode(coalesce(url, ''))) + octet_length(encode(coalesce(html, ''))) AS BIGINT) AS length, sha256(coalesce(html, '')) AS digest,
-  sha256(CASE WHEN page_id % 97 = 13 THEN '#' || substr(coalesce(html, ''), 2) ELSE coalesce(html, '') END) AS digest_b FROM pages),
-a AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM n),
-b AS (SELECT archive, "offset", length, digest_b AS digest FROM a WHERE page_id % 389 <> 7 UNION ALL SELECT archive, "offset" + 1, length, digest_b FROM a WHERE page_id % 211 = 5),
+WITH n AS (SELECT page_id, coalesce(page_id // {PER_ARCHIVE}, -1) AS n, coalesce(page_id, 0) % {PER_ARCHIVE} AS k, translate(coalesce(url, ''), chr(13) || chr(10), '  ') AS uri, coalesce(html, '') AS block, sha256(coalesce(html, '')) AS place FROM pages),
+d AS (SELECT *, CAST(n AS VARCHAR) AS archive, CASE WHEN page_id % 97 = 13 AND octet_length(encode(substr(block, 1, 1))) = 1 THEN '#' || substr(block, 2) ELSE block END AS held FROM n),
+ra AS (SELECT archive, 0 AS stray, page_id, place, {long.format('block')} AS length, place AS digest FROM d),
+rb AS (SELECT archive, stray, page_id, place, {long.format('held')} AS length, sha256(held) AS digest FROM (SELECT *, 0 AS stray FROM d WHERE NOT (n % 4 = 1 AND k >= 990) UNION ALL SELECT *, 1 FROM d WHERE n % 5 = 2 AND k = 3)),
+a AS (SELECT *, CAST(coalesce(sum(length) OVER ({order}), 0) AS BIGINT) AS "offset" FROM ra),
+b AS (SELECT *, CAST(coalesce(sum(length) OVER ({order}), 0) AS BIGINT) AS "offset" FROM rb),
 {side("x", "a")},
 {side("y", "b")}
 SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a."offset", b."offset") AS "offset", coalesce(a.length, b.length) AS length, CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'changed' END AS status, a.digest AS digest_a, b.digest AS digest_b, r.hash AS root_a, s.hash AS root_b
 FROM a FULL JOIN b ON a.archive = b.archive AND a."offset" = b."offset" LEFT JOIN x{LEVELS} r ON r.archive = coalesce(a.archive, b.archive) LEFT JOIN y{LEVELS} s ON s.archive = coalesce(a.archive, b.archive)
-WHERE a.digest IS DISTINCT FROM b.digest
+WHERE a.digest IS DISTINCT FROM b.digest OR a.length IS DISTINCT FROM b.length
 """
 
 

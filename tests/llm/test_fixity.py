@@ -90,7 +90,8 @@ def test_records_at_one_offset_are_compared_whole(spark):
 
 
 def test_query_against_sql(spark, tmp_path):
-    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), F.col("id").cast("string")).alias("url"), F.when(F.col("id") % 50 != 3, F.repeat(F.concat(F.lit("é"), F.col("id").cast("string")), 40)).alias("html"))
+    pages = spark.range(3500).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), F.col("id").cast("string")).alias("url"), F.when(F.col("id") % 50 != 3, F.repeat(F.concat(F.lit("é"), F.col("id").cast("string")), 40)).alias("html"))
+    pages = pages.unionByName(spark.createDataFrame([(None, None, "lost id"), (None, "u\r\nv", None)], "page_id long, url string, html string"))
     pages.write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
