@@ -6,19 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# fixed values: the sunrise and sunset equations of the Almanac for Computers (United States Naval Observatory, 1990)
+_ANOMALY, _ANOMALY_0 = 0.9856, 3.289
+_CENTRE, _CENTRE_2, _PERIGEE = 1.916, 0.020, 282.634
+_COS_TILT, _SIN_TILT = 0.91764, 0.39782
+_ZENITH = 90.833
+_SIDEREAL, _SIDEREAL_0 = 0.06571, 6.622
+
+
 def solar_hour_utc(day_of_year: Column, latitude: Column, longitude: Column, *, sunrise: bool) -> Column:
     """Hour of the UTC day of sunrise or sunset after the published almanac equations; null in polar day or night."""
     hour = longitude / 15.0
     t = day_of_year + (F.lit(6.0 if sunrise else 18.0) - hour) / 24.0
-    m = t * 0.9856 - 3.289
-    sun = F.pmod(m + F.sin(F.radians(m)) * 1.916 + F.sin(F.radians(m) * 2) * 0.020 + 282.634, F.lit(360.0))
-    ra = F.pmod(F.degrees(F.atan(F.tan(F.radians(sun)) * 0.91764)), F.lit(360.0))
+    m = t * _ANOMALY - _ANOMALY_0
+    sun = F.pmod(m + F.sin(F.radians(m)) * _CENTRE + F.sin(F.radians(m) * 2) * _CENTRE_2 + _PERIGEE, F.lit(360.0))
+    ra = F.pmod(F.degrees(F.atan(F.tan(F.radians(sun)) * _COS_TILT)), F.lit(360.0))
     ra = (ra + F.floor(sun / 90.0) * 90.0 - F.floor(ra / 90.0) * 90.0) / 15.0
-    sin_d = F.sin(F.radians(sun)) * 0.39782
-    cos_h = (F.cos(F.radians(F.lit(90.833))) - sin_d * F.sin(F.radians(latitude))) / (F.cos(F.asin(sin_d)) * F.cos(F.radians(latitude)))
+    sin_d = F.sin(F.radians(sun)) * _SIN_TILT
+    cos_h = (F.cos(F.radians(F.lit(_ZENITH))) - sin_d * F.sin(F.radians(latitude))) / (F.cos(F.asin(sin_d)) * F.cos(F.radians(latitude)))
     h = F.degrees(F.acos(cos_h))
     h = (F.lit(360.0) - h if sunrise else h) / 15.0
-    return F.when(F.abs(cos_h) <= 1, F.pmod(h + ra - t * 0.06571 - 6.622 - hour, F.lit(24.0)))
+    return F.when(F.abs(cos_h) <= 1, F.pmod(h + ra - t * _SIDEREAL - _SIDEREAL_0 - hour, F.lit(24.0)))
 
 
 def in_annual_range(day: Column, start: Column, end: Column) -> Column:
