@@ -332,6 +332,26 @@ def detection_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _said(x: str, places: int) -> str:
+    """SQL: a number with thousands separated."""
+    return f"format('{{:,.{places}f}}', ({x})::DOUBLE)"
+
+
+_PER = f"coalesce(' ' || {_UNIT}, '')"
+
+
+@query(
+    f"SELECT * FROM (WITH {SCORED} SELECT 'spoofing' AS detector_id, 'aircraft:' || icao24 AS entity, gate AS tag, start_us, coalesce('Measured ' || {_said('measured', 1)} || {_PER} || ', limit ' || {_said('threshold', 1)} || {_PER} || '. ', '') || 'Seen on ' || icao24 || ' for ' || {_said('duration_s', 0)} || ' s.' AS facts FROM detections WHERE NOT abstains) "
+    f"UNION ALL SELECT * FROM (WITH {encounters.SLOTS} SELECT 'proximity', 'icao24:' || slots.icao24_a, 'cpa', start_us, 'Now ' || {_said('now_nm', 2)} || ' nm apart. At constant speed and track in ' || {_said('slots.t_cpa', 0)} || ' s ' || {_said('slots.pred_nm', 2)} || ' nm and ' || {_said('slots.pred_ft', 0)} || ' ft.' FROM slots JOIN sl ON sl.a.icao24 = icao24_a AND sl.b.icao24 = icao24_b AND sl.slot = slots.slot) "
+    f"UNION ALL SELECT * FROM (WITH {encounters.EPISODES} SELECT 'no_fly_zone', 'icao24:' || icao24, zone_id, start_us, 'In ' || zone_id || ' for ' || {_said('(end_us - start_us) / 1e6', 0)} || ' s and ' || {_said('hits', 0)} || ' reports, peak score ' || {_said('peak_score', 3)} || '.' FROM ep)"
+)
+def finding_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What findings say in words."""
+    o = base.obs(spark, sf_dir)
+    d = detectors.run(o, [detectors.build("spoofing", cfg=C, registry=base.registry(spark, sf_dir)), detectors.build("proximity", cfg=base.PROXIMITY), detectors.build("no_fly_zone", zones=base.zones(spark), cfg=base.AIRSPACE)])
+    return d.select("detector_id", F.get("entity_ids", F.lit(0)).alias("entity"), F.get("tags", F.lit(0)).alias("tag"), us("start_at").alias("start_us"), F.try_element_at("metadata", F.lit("facts")).alias("facts"))
+
+
 # --- detectors window by window
 
 
