@@ -152,13 +152,14 @@ def _rows(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
-def write_replica(records: DataFrame, path: str) -> None:
-    """records: archive, place (order in the archive), uri, block.  A compressed WARC file of resource records for each archive,
-    in the folder ``archive=`` of its name.  An archive is one task's work, its records stream through it."""
+def write_archives(dealt: DataFrame, path: str, *by: str) -> None:
+    """dealt: ``by``, archive, place (order in the archive), uri, block; the rows of an archive lie in one partition.  A compressed
+    WARC file of resource records for each archive, in the folder ``archive=`` of its name, below those of ``by``.  The records of
+    an archive stream through their task."""
     header = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), "uri", F.lit("\r\nContent-Length: "), F.octet_length("block").cast("string"), F.lit("\r\n\r\n"))
-    dealt = records.repartition("archive").sortWithinPartitions("archive", "place").select("archive", F.concat(header, "block").alias("value"))
+    ordered = dealt.sortWithinPartitions(*by, "archive", "place").select(*by, "archive", F.concat(header, "block").alias("value"))
     # the end of a record is what separates lines
-    dealt.write.partitionBy("archive").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    ordered.write.partitionBy(*by, "archive").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def read_replica(spark: SparkSession, path: str, *, named: str = "([^/]+)$") -> DataFrame:
@@ -263,30 +264,31 @@ PER_ARCHIVE = 1000
 _FRAME = len(write_warc([("", b"")])) - 1
 
 
-def page_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records of archives of ``PER_ARCHIVE`` pages in order, as they were, and as a damaged replica holds them: in one of 97
-    the first character was overwritten, every fourth archive lost its end, and behind every fifth lies a stray copy."""
+def page_replicas(pages: DataFrame) -> DataFrame:
+    """Records (replica, archive, place, uri, block) of archives of ``PER_ARCHIVE`` pages in order, as they were (a) and as a damaged
+    replica holds them (b): in one of 97 the first character was overwritten, every fourth archive lost its end, and behind every
+    fifth lies a stray copy.  Pages are shuffled once, by archive; the replicas part after it."""
     html, at = F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.col("page_id"), F.lit(0)) % PER_ARCHIVE
     archive = F.coalesce(F.floor(F.col("page_id") / PER_ARCHIVE), F.lit(-1))
-    own = pages.select(
-        archive.alias("archive"), F.struct(F.lit(0).alias("stray"), "page_id", F.sha2(html.cast("binary"), 256)).alias("place"), F.translate(F.coalesce("url", F.lit("")), "\r\n", "  ").alias("uri"), html.alias("block"),
-        ((F.col("page_id") % 97 == 13) & (F.octet_length(F.substring(html, 1, 1)) == 1)).alias("_hit"), ((archive % 4 == 1) & (at >= 990)).alias("_lost"), ((archive % 5 == 2) & (at == 3)).alias("_stray"),
-    )
-    columns = ["archive", "place", "uri", "block"]
-    held = own.withColumn("block", F.when(F.col("_hit"), F.concat(F.lit("#"), F.substring("block", 2, 1 << 30))).otherwise(F.col("block")))
-    stray = held.where("_stray").withColumn("place", F.struct(F.lit(1).alias("stray"), F.col("place.page_id"), F.col("place")[own.schema["place"].dataType.names[2]]))
-    return own.select(*columns), held.where(~F.col("_lost")).select(*columns).unionByName(stray.select(*columns))
+    own = pages.select("page_id", archive.alias("archive"), at.alias("at"), F.translate(F.coalesce("url", F.lit("")), "\r\n", "  ").alias("uri"), html.alias("block")).repartition("archive")
+    hit = (F.col("page_id") % 97 == 13) & (F.octet_length(F.substring("block", 1, 1)) == 1)
+    held = F.when(hit, F.concat(F.lit("#"), F.substring("block", 2, 1 << 30))).otherwise(F.col("block"))
+    own = own.withColumns({"digest": F.sha2(F.col("block").cast("binary"), 256), "held": held})
+
+    def record(replica: str, stray: int, block: str):
+        return F.struct(F.lit(replica).alias("replica"), F.struct(F.lit(stray).alias("stray"), "page_id", "digest").alias("place"), F.col(block).alias("block"))
+
+    lost, again = (F.col("archive") % 4 == 1) & (F.col("at") >= 990), (F.col("archive") % 5 == 2) & (F.col("at") == 3)
+    records = F.array_compact(F.array(record("a", 0, "block"), F.when(~lost, record("b", 0, "held")), F.when(again, record("b", 1, "held"))))
+    return own.select("archive", "uri", F.explode(records).alias("r")).select("r.replica", "archive", "r.place", "uri", "r.block")
 
 
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two replicas are written as archives, read record by record, and audited."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    sides = []
-    for name, records in zip("ab", page_replicas(pages), strict=True):
-        path = scratch(spark, f"replica-{name}")
-        write_replica(records, path)
-        sides.append(stored(read_replica(spark, path, named="archive=([^/]+)").select("archive", "offset", "length", "digest"), f"records-{name}"))
-    return audit(*sides, levels=LEVELS)
+    path = scratch(spark, "replicas")
+    write_archives(page_replicas(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")), path, "replica")
+    sides = (read_replica(spark, f"{path}/replica={name}", named="archive=([^/]+)").select("archive", "offset", "length", "digest") for name in "ab")
+    return audit(*(stored(s, "records") for s in sides), levels=LEVELS)
 
 
 def _oracle() -> str:
