@@ -233,3 +233,27 @@ def test_proximity_geometry(spark):
     assert cpa(0, 0, 0, 0, 600, -600) == 60
     assert cpa(1, 1, 0, 0, 5, 0) is None
     assert proximity.airborne(Proximity()) is not None
+
+
+def _shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
+
+
+def test_pairs_are_met_where_positions_lie(spark):
+    """Reports are shuffled by track and spans by slot, never positions; nor is there a join."""
+    from aerolith.plans import encounters
+
+    found = encounters.QUERIES["candidate_pairs"](spark, "/root/testdata/sf0.001")
+    assert _shuffles(found) == 2 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ticks_of_equal_times(spark):
+    """Reports of one time on a tick: each tick once, from the earliest span, with and without slots."""
+    rows = [("a", t, lat, n) for n, (t, lat) in enumerate([(0, 1.0), (0, 2.0), (2, 3.0), (2, 4.0), (2, 5.0), (100, 6.0), (200, 7.0)])]
+    rows += [("b", 5, 1.0, 10), ("b", 5, 2.0, 11)]
+    df = spark.createDataFrame(rows, "icao24 string, t long, latitude double, seq long").withColumn("observed_at", F.timestamp_seconds("t"))
+    df = df.withColumns({c: F.lit(1.0) for c in ("longitude", "altitude_ft", "ground_speed_kt", "track_deg", "vertical_rate_fpm")} | {"nic": F.lit(1), "nacp": F.lit(1), "on_ground": F.lit(False)})
+    want = {("a", 0): 1.0, ("a", 1): 2.5, ("a", 2): 3.0, ("a", 100): 6.0, ("a", 200): 7.0, ("b", 5): 1.0}
+    for slot in (None, lambda t: F.floor(t / 2).cast("long")):
+        got = tracks.resample(df, 1.0, 30.0, slot=slot).collect()
+        assert len(got) == len(want) and {(r.icao24, r.tick): r.latitude for r in got} == want
