@@ -257,3 +257,11 @@ def test_ticks_of_equal_times(spark):
     for slot in (None, lambda t: F.floor(t / 2).cast("long")):
         got = tracks.resample(df, 1.0, 30.0, slot=slot).collect()
         assert len(got) == len(want) and {(r.icao24, r.tick): r.latitude for r in got} == want
+
+
+def test_alerts_are_made_where_pairs_are(spark):
+    """Flagged pairs and their best of each slot need no shuffle beyond those of reports and spans."""
+    from aerolith.plans import encounters
+
+    for name in ("cpa_pairs",):
+        assert _shuffles(encounters.QUERIES[name](spark, "/root/testdata/sf0.001")) == 2
