@@ -263,5 +263,5 @@ def test_alerts_are_made_where_pairs_are(spark):
     """Flagged pairs and their best of each slot need no shuffle beyond those of reports and spans."""
     from aerolith.plans import encounters
 
-    for name in ("cpa_pairs",):
+    for name in ("cpa_pairs", "proximity_slots"):
         assert _shuffles(encounters.QUERIES[name](spark, "/root/testdata/sf0.001")) == 2
