@@ -265,3 +265,16 @@ def test_alerts_are_made_where_pairs_are(spark):
 
     for name in ("cpa_pairs", "proximity_slots"):
         assert _shuffles(encounters.QUERIES[name](spark, "/root/testdata/sf0.001")) == 2
+
+
+def test_alerts_are_not_shuffled_to_find_equal_keys(spark):
+    """A pair has one alert a slot, so its key is its own; windows and a detector given twice may find the same again."""
+    from aerolith.plans import encounters, serving
+
+    assert _shuffles(serving.QUERIES["proximity_detector"](spark, "/root/testdata/sf0.001")) == _shuffles(encounters.QUERIES["proximity_slots"](spark, "/root/testdata/sf0.001"))
+    obs, d = pair(spark, 9, True), detectors.build("proximity")
+    keys = lambda found: sorted(r.dedup_key for r in found.select("dedup_key").collect())
+    once = keys(detectors.run(obs, [d], dedup=True))
+    assert once and len(once) == len(set(once)) and once == keys(detectors.run(obs, [d, d], dedup=True))
+    slid = keys(detectors.replay(obs, [d], window_s=20, step_s=10))
+    assert slid and len(slid) == len(set(slid))
