@@ -278,3 +278,17 @@ def test_alerts_are_not_shuffled_to_find_equal_keys(spark):
     assert once and len(once) == len(set(once)) and once == keys(detectors.run(obs, [d, d], dedup=True))
     slid = keys(detectors.replay(obs, [d], window_s=20, step_s=10))
     assert slid and len(slid) == len(set(slid))
+
+
+def test_alerts_beside_other_findings(spark):
+    """Of several detectors only the findings whose keys may recur are compared; none is lost or twice."""
+    from aerolith.plans import encounters, serving
+
+    obs, d = pair(spark, 9, True), detectors.build("proximity")
+    low = detectors.build("example_altitude", cfg=Altitude(floor_ft=50.0, ceiling_ft=100.0))
+    found = detectors.run(obs, [d, low, low], dedup=True).select("detector_id", "dedup_key").collect()
+    kinds = [r.detector_id for r in found]
+    assert len({r.dedup_key for r in found}) == len(found)
+    assert kinds.count("example_altitude") == obs.count() and kinds.count("proximity") == detectors.run(obs, [d]).count() > 0
+    plan = serving.QUERIES["detection_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" or "Aggregate" not in plan.toString().split("Union")[0]
