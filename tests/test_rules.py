@@ -292,3 +292,13 @@ def test_alerts_beside_other_findings(spark):
     assert kinds.count("example_altitude") == obs.count() and kinds.count("proximity") == detectors.run(obs, [d]).count() > 0
     plan = serving.QUERIES["detection_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
     assert plan.nodeName() == "Union" or "Aggregate" not in plan.toString().split("Union")[0]
+
+
+def test_few_slots_share_a_task(spark, monkeypatch):
+    """A task holds the positions of few slots at once, however few partitions the session deals by itself."""
+    from aerolith.plans import encounters
+
+    monkeypatch.setattr(tracks, "_SHARE_REPORTS", 1)
+    positions = encounters._dealt(spark, "/root/testdata/sf0.001")
+    slots = positions.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("slot").alias("n"))
+    assert positions.select("slot").distinct().count() > 300 and slots.agg(F.max("n")).first()[0] <= 8
