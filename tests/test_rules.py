@@ -302,3 +302,39 @@ def test_few_slots_share_a_task(spark, monkeypatch):
     positions = encounters._dealt(spark, "/root/testdata/sf0.001")
     slots = positions.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("slot").alias("n"))
     assert positions.select("slot").distinct().count() > 300 and slots.agg(F.max("n")).first()[0] <= 8
+
+
+def test_pairs_are_not_sorted_for_their_best(spark):
+    """A slot's pairs are done with block by block: no plan gathers flagged pairs, which spilled."""
+    from aerolith.plans import encounters
+
+    plan = encounters.QUERIES["proximity_slots"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort ") == 1  # of the reports of a track
+
+
+@pytest.mark.parametrize("block", [1, 1000, 1 << 18])
+def test_alerts_in_blocks(spark, monkeypatch, block):
+    """Those of the flagged pairs, however few aircraft are taken at once; each pair and slot once."""
+    from aerolith.plans import encounters
+
+    monkeypatch.setattr(proximity, "_BLOCK", block)
+    sf = "/root/testdata/sf0.001"
+
+    def rows(df):
+        return sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(sorted(df.columns)).collect())
+
+    got = rows(proximity.alerts(encounters._dealt(spark, sf), encounters.P))
+    assert got and got == rows(proximity.slots(encounters._flags(spark, sf), encounters.P))
+
+
+@pytest.mark.parametrize("cfg", [Proximity(cell_size_deg=0.02, max_current_separation_nm=3.0), Proximity(alert_cooldown_s=0.0), Proximity(tiers=())])
+def test_alerts_of_other_settings(spark, cfg):
+    """Small cells, so that pairs change bands within a slot and lie on either side of zero; no cooldown; no tiers.  Unknown and equal values."""
+    rows = [(f"a{n:02}", t, (n * 7 % 11 - 5) * 0.009 + t * 0.0007 * (n % 3 - 1), (n * 5 % 13 - 6) * 0.009, 9000.0 + n % 4 * 300, None if n % 5 == 0 else 100.0 * (n % 7 - 3), 0.0 if n % 6 < 2 else 250.0, None if n == 9 else n * 37.0 % 360, None if n % 4 == 0 else 8) for n in range(24) for t in range(0, 90, 6)]
+    df = spark.createDataFrame(rows, "icao24 string, t long, latitude double, longitude double, altitude_ft double, vertical_rate_fpm double, ground_speed_kt double, track_deg double, nacp int")
+    df = df.withColumns({"observed_at": F.timestamp_seconds("t"), "seq": F.col("t"), "nic": F.lit(8), "on_ground": F.lit(False), "window_start": F.timestamp_seconds(F.col("t") - F.col("t") % 45)})
+    for by in ((), ("window_start",)):
+        at = tracks.resample(df, cfg.grid_step_s, cfg.max_gap_s, *by, slot=proximity.slot(cfg))
+        pairs = proximity.geometry(proximity.candidate_pairs(at, cfg, *by, near=True))
+        want, got = ({(*(r[k] for k in (*by, "icao24_a", "icao24_b", "slot", "tick", "severity", "nacp_a", "nacp_b")), *(round(r[k], 6) for k in ("now_nm", "pred_nm", "pred_ft", "t_cpa_s", "confidence", "latitude"))) for r in df.collect()} for df in (proximity.slots(proximity.flagged(pairs, cfg), cfg, *by), proximity.alerts(at, cfg, *by)))
+        assert got == want and bool(got) == bool(cfg.tiers)
