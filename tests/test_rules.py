@@ -338,3 +338,14 @@ def test_alerts_of_other_settings(spark, cfg):
         pairs = proximity.geometry(proximity.candidate_pairs(at, cfg, *by, near=True))
         want, got = ({(*(r[k] for k in (*by, "icao24_a", "icao24_b", "slot", "tick", "severity", "nacp_a", "nacp_b")), *(round(r[k], 6) for k in ("now_nm", "pred_nm", "pred_ft", "t_cpa_s", "confidence", "latitude"))) for r in df.collect()} for df in (proximity.slots(proximity.flagged(pairs, cfg), cfg, *by), proximity.alerts(at, cfg, *by)))
         assert got == want and bool(got) == bool(cfg.tiers)
+
+
+def test_findings_of_pairs_are_not_sorted(spark):
+    """Nor does the detector gather flagged pairs, alone or beside others (finding_facts)."""
+    from aerolith.plans import serving
+
+    obs = pair(spark, 9, True)
+    plan = detectors.run(obs, [detectors.build("proximity")])._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort ") == 1
+    findings = serving.QUERIES["finding_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert findings.toString().count("MapInArrow") == 1
