@@ -349,3 +349,11 @@ def test_findings_of_pairs_are_not_sorted(spark):
     assert "Aggregate" not in plan and plan.count("Sort ") == 1
     findings = serving.QUERIES["finding_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
     assert findings.toString().count("MapInArrow") == 1
+
+
+def test_stored_close_passes_are_not_sorted(spark):
+    """Nor are flagged pairs gathered for rows to be stored (proximity_rows)."""
+    from aerolith.plans import storage
+
+    plan = storage.QUERIES["proximity_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort ") == 1
