@@ -357,3 +357,11 @@ def test_stored_close_passes_are_not_sorted(spark):
 
     plan = storage.QUERIES["proximity_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Sort ") == 1
+
+
+def test_documents_of_pairs_are_not_sorted(spark):
+    """All detectors' documents (detection_json): alerts come from blocks, and go beside the rest as they are."""
+    from aerolith.plans import serving
+
+    plan = serving.QUERIES["detection_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "collect_list(struct(v" not in plan
